@@ -2,8 +2,8 @@
 
 256-bit SimHashes of word pairs are navigated in their first 128 bits. Distinct hashes are spread over
 shards by hash; each shard builds a small-world graph, and every hash is sent to every shard as a
-query. A beam search, entered through hashed entry points, finds its partners; the beam of a query
-expands while all it holds is within the radius, and the shard's beam expands until the recall
+query. A beam search, entered through hashed entry points, finds its first partners and expands from
+them along links as long as nodes are within the radius; the shard's beam expands until the recall
 audited against exact search on a sample suffices (in the end, to the exact search itself). Edges are
 verified by the exact distance over all 256 bits and unioned.
 
@@ -34,6 +34,8 @@ from .textops import shingles, simhash, words
 RADIUS, NAV_RADIUS = 54, 38
 SHARDS, SHARD_ROWS = 6, 2_000_000
 RECALL = 0.95
+#: A beam of w costs about as much as comparing so many times w nodes outright.
+EXACT_BELOW = 300
 _MAX = np.uint64(2**64 - 1)
 _W = ["s0", "s1", "s2", "s3"]
 #: Up to so many dropped ids (8 bytes each) are broadcast; beyond, the join shuffles.
@@ -198,31 +200,46 @@ class SmallWorld:
         return keys[:, :width].copy()
 
     def within(self, q: np.ndarray, radius: int, width: int) -> tuple[np.ndarray, np.ndarray]:
-        """(query, node) pairs at most ``radius`` apart. A beam that is full of them is widened, to the exact search in the end."""
-        rows, nodes, todo = [], [], np.arange(len(q))
-        while len(todo):
-            if width * 8 >= self.n:
-                r, p = self.exact(q[todo], radius)
-                rows.append(todo[r])
-                nodes.append(p)
-                break
-            again = []
-            step = max(16, 8192 // width)
-            for i in range(0, len(todo), step):
-                part = todo[i : i + step]
-                k = self._beam(q[part], width)
-                hit = (k >> np.uint64(33)) <= radius
-                full = hit.all(1)
-                again.append(part[full])
-                hit[full] = False
-                r, c = np.nonzero(hit)
-                rows.append(part[r])
-                nodes.append(((k[r, c] & np.uint64(0x1FFFFFFFF)) >> np.uint64(1)).astype(np.int64))
-            todo, width = np.concatenate(again), width * 4
-        if not rows:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        """(query, node) pairs at most ``radius`` apart.
+
+        What a beam of ``width`` finds expands along the links of nodes within the radius, as far as they
+        go: a query with thousands of partners costs what its partners do, not a beam of thousands.
+        """
+        if width * EXACT_BELOW >= self.n:
+            return self.exact(q, radius)
+        rows, nodes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        step = max(16, 8192 // width)
+        for i in range(0, len(q), step):
+            k = self._beam(q[i : i + step], width)
+            hit = (k >> np.uint64(33)) <= radius
+            full = hit.all(1)
+            for some, most in ((np.flatnonzero(~full & hit.any(1)), 512), (np.flatnonzero(full), 16)):
+                for j in range(0, len(some), most):
+                    part = some[j : j + most]
+                    r, c = np.nonzero(hit[part])
+                    found = ((k[part[r], c] & np.uint64(0x1FFFFFFFF)) >> np.uint64(1)).astype(np.int64)
+                    r, p = self._expand(q[i + part], r, found, radius)
+                    rows.append(i + part[r])
+                    nodes.append(p)
         return np.concatenate(rows), np.concatenate(nodes)
 
+    def _expand(self, q: np.ndarray, rows: np.ndarray, nodes: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+        """All (query, node) pairs within the radius that links reach from those given, through such nodes only."""
+        new = np.unique(rows * self.n + nodes)
+        tested, found = new, [new]
+        while len(new):
+            near = self.links[new % self.n].astype(np.int64)
+            key = np.unique(((new // self.n)[:, None] * self.n + near)[near >= 0])
+            at = np.minimum(np.searchsorted(tested, key), len(tested) - 1)
+            key = key[tested[at] != key]
+            if not len(key):
+                break
+            tested = np.union1d(tested, key)
+            new = key[_distance(self.x[key % self.n], q[key // self.n]) <= radius]
+            found.append(new)
+        pairs = np.concatenate(found)
+        return pairs // self.n, pairs % self.n
+
     def exact(self, q: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
         rows, nodes = [], []
         step = max(1, (1 << 20) // max(1, self.n))
@@ -232,17 +249,23 @@ class SmallWorld:
             nodes.append(p)
         return (np.concatenate(rows), np.concatenate(nodes)) if rows else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
-    def audited_width(self, radius: int, width: int, wanted: float = RECALL, sample: int = 768, seed: int = 3) -> tuple[int, float]:
-        """The least beam (doubled from ``width``) whose recall on sampled nodes, against exact search, is ``wanted``."""
+    def audited_width(self, full: np.ndarray, nav: int, radius: int, width: int, wanted: float = RECALL, sample: int = 1024, seed: int = 3) -> tuple[int, float]:
+        """The least beam (doubled from ``width``) whose recall of verified pairs on sampled nodes, against exact search, is ``wanted``."""
         pick = np.random.default_rng(seed).choice(self.n, min(sample, self.n), replace=False)
-        q = self.x[pick]
-        r, p = self.exact(q, radius)
+        q = full[pick]
+        r, p = [], []
+        for i in range(0, len(q), max(1, (1 << 20) // self.n)):
+            d = _distance(full[None, :, :], q[i : i + max(1, (1 << 20) // self.n), None, :])
+            a, b = np.nonzero(d <= radius)
+            r.append(a + i)
+            p.append(b)
+        r, p = np.concatenate(r), np.concatenate(p)
         other = pick[r] != p
         true = set(zip(r[other].tolist(), p[other].tolist()))
         while True:
-            if not true or width * 8 >= self.n:
+            if not true or width * EXACT_BELOW >= self.n:
                 return width, 1.0
-            r, p = self.within(q, radius, width)
+            r, p = _pairs(self, full, q, width, nav, radius)
             recall = len(true & set(zip(r.tolist(), p.tolist()))) / len(true)
             if recall >= wanted:
                 return width, recall
@@ -291,7 +314,7 @@ def edges(nodes: DataFrame, radius: int = RADIUS, nav_radius: int = NAV_RADIUS,
                 graph = False
                 return None
             graph = SmallWorld(rows)
-            width, _ = graph.audited_width(nav_radius, beam)
+            width, _ = graph.audited_width(rows, nav_radius, radius, beam)
             graph.width = width
             a, b = [], []
             for i in range(0, len(ids), 4096):

@@ -94,7 +94,7 @@ class Model:
 
     def crdt_log(self) -> DataFrame:
         """(key, actor, phys, logical, value, k): one operation a row; the clock is (phys, logical)."""
-        return self.table("events").select(F.col("event_type").alias("key"), F.col("user_id").alias("actor"), F.unix_micros("ts").alias("phys"), F.col("event_id").alias("logical"), "value", F.get_json_object("props", "$.k").cast("bigint").alias("k"))
+        return self.table("events").select(F.col("event_type").alias("key"), F.col("user_id").alias("actor"), F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', cast(ts as timestamp_ntz))").alias("phys"), F.col("event_id").alias("logical"), "value", F.get_json_object("props", "$.k").cast("bigint").alias("k"))
 
     def active_claims(self) -> DataFrame:
         """(event_id, subj, pred, obj): what users assert, slot (subj, pred)."""
@@ -195,6 +195,6 @@ def sql(query: str, *tables: str, recursive: bool = False) -> str:
     parts = [f"{k} as ({v})" for k, v in done.items()]
     body = query.strip()
     if body.lower().startswith("with "):
-        parts.append(body[5:])
+        parts.append(body[5:].removeprefix("recursive "))
         return f"with {'recursive ' * recursive}" + ",\n".join(parts)
     return (f"with {'recursive ' * recursive}" + ",\n".join(parts) + "\n" if parts else "") + body
