@@ -1,7 +1,9 @@
 """Non-negative positive-unlabelled toxicity classifier.
 
 A numpy logistic model over hashed words and word stems, trained from confirmed toxic texts and
-unlabelled ones with the non-negative PU risk: pi E_P[l+] + max(0, E_U[l-] - pi E_P[l-]).
+unlabelled ones with the non-negative PU risk: pi E_P[l+] + max(0, E_U[l-] - pi E_P[l-]). A feature's
+value is how densely it occurs: ``DENSE`` times its share of the words, 1 at most, so that a long clean
+text isn't rejected for a few words that chance brings.
 
 Defined results
 * Null or empty text, or a text without any known feature: scored by the bias alone, never rejected.
@@ -28,6 +30,8 @@ from .textops import words
 
 STEMS = (4, 5, 6)
 BITS = 32
+#: A feature counts in full from one in so many words; a shorter text counts as having so many.
+DENSE = 48
 
 
 @dataclass(frozen=True)
@@ -38,23 +42,33 @@ class ToxicModel:
     prior: float
 
 
-def _presence(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, int]:
-    """(document index, feature) pairs, each once; features are words and their stems hashed to BITS bits."""
+def _density(count: np.ndarray, n_words: np.ndarray) -> np.ndarray:
+    return np.minimum(1, DENSE * count / np.maximum(n_words, DENSE))
+
+
+def _features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(document index, feature, density), each pair once; features are words and their stems hashed to BITS bits."""
     w = words(texts, STEMS)
     n = len(w.first) - 1
     parts = [(w.doc, w.hashes)] + [(w.doc[at], h) for at, h in w.prefixes.values()]
     doc = np.concatenate([d for d, _ in parts]).astype(np.uint64)
     feature = np.concatenate([h for _, h in parts]) >> np.uint64(64 - BITS)
-    key = np.unique((doc << np.uint64(BITS)) | feature)
-    return (key >> np.uint64(BITS)).astype(np.int64), (key & np.uint64((1 << BITS) - 1)).astype(np.int64), n
+    key, count = np.unique((doc << np.uint64(BITS)) | feature, return_counts=True)
+    doc = (key >> np.uint64(BITS)).astype(np.int64)
+    return doc, (key & np.uint64((1 << BITS) - 1)).astype(np.int64), _density(count, np.diff(w.first)[doc]), n
+
+
+_PAIR = np.dtype([("feature", np.uint32), ("density", np.float32)])
 
 
 def _sample_features(batches):
     for batch in batches:
         for part in slices(batch, "text"):
-            d, f, n = _presence(part.column(1))
+            d, f, v, n = _features(part.column(1))
+            pairs = np.empty(len(f), _PAIR)
+            pairs["feature"], pairs["density"] = f, v
             cut = np.searchsorted(d, np.arange(n + 1))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([f[cut[i] : cut[i + 1]].astype(np.uint32).tobytes() for i in range(n)], pa.binary())], ["confirmed", "features"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([pairs[cut[i] : cut[i + 1]].tobytes() for i in range(n)], pa.binary())], ["confirmed", "features"])
 
 
 def nnpu_train(x_p: np.ndarray, x_u: np.ndarray, prior: float, steps: int = 300, rate: float = 0.05, decay: float = 1e-4, seed: int = 0) -> tuple[np.ndarray, float]:
@@ -106,11 +120,11 @@ def fit(docs: DataFrame, labels: DataFrame, class_prior: float | None = None, mo
     for kind, features in zip(rows["confirmed"].to_pylist(), rows["features"].to_pylist()):
         if (kind, features) not in seen:  # copies of a text would count as evidence again
             seen.add((kind, features))
-            by[kind].append(np.frombuffer(features, np.uint32))
+            by[kind].append(np.frombuffer(features, _PAIR))
     if not by[1] or not by[0]:
         return nothing
-    seen_p, df_p = np.unique(np.concatenate(by[1]), return_counts=True)
-    seen_u, df_u = np.unique(np.concatenate(by[0]), return_counts=True)
+    seen_p, df_p = np.unique(np.concatenate([x["feature"] for x in by[1]]), return_counts=True)
+    seen_u, df_u = np.unique(np.concatenate([x["feature"] for x in by[0]]), return_counts=True)
     if not len(seen_p):
         return nothing
     at = np.minimum(np.searchsorted(seen_u, seen_p), max(0, len(seen_u) - 1))
@@ -119,7 +133,8 @@ def fit(docs: DataFrame, labels: DataFrame, class_prior: float | None = None, mo
     p1, p0 = (df_p + 0.5) / (n_p + 1), (other + 0.5) / (n_u + 1)
     z = (p1 - p0) / np.sqrt(p1 * (1 - p1) / n_p + p0 * (1 - p0) / n_u + 1e-12)
     least = max(3, n_p // 500)
-    chosen_features = np.flatnonzero((df_p >= least) & (z > 3) & (p1 > 3 * p0))
+    surprise = (p1 - p0) / np.sqrt(p0 * (1 - p0) * (1 / n_p + 1 / n_u))  # were both samples alike
+    chosen_features = np.flatnonzero((df_p >= least) & (surprise > 5) & (p1 > 3 * p0))
     chosen_features = chosen_features[np.argsort(-z[chosen_features], kind="stable")[:most_features]]
     chosen_features = np.sort(chosen_features)
     if not len(chosen_features):
@@ -129,8 +144,9 @@ def fit(docs: DataFrame, labels: DataFrame, class_prior: float | None = None, mo
     def dense(docs_: list[np.ndarray]) -> np.ndarray:
         x = np.zeros((len(docs_), len(chosen_features)), np.float32)
         for i, f in enumerate(docs_):
-            c = np.minimum(np.searchsorted(chosen_hashes, f), len(chosen_hashes) - 1)
-            x[i, c[chosen_hashes[c] == f]] = 1
+            c = np.minimum(np.searchsorted(chosen_hashes, f["feature"]), len(chosen_hashes) - 1)
+            on = chosen_hashes[c] == f["feature"]
+            x[i, c[on]] = f["density"][on]
         return x
 
     prior = float(np.clip((share * n_docs - n_toxic) / max(1, n_docs - n_toxic), 0.005, 0.9)) if class_prior is None else class_prior
@@ -154,8 +170,9 @@ def score(texts: pa.Array, model: ToxicModel) -> np.ndarray:
         at = np.minimum(np.searchsorted(model.features, f), len(model.features) - 1)
         hit = model.features[at] == f
         keys.append(doc[on[hit]] * len(model.features) + at[hit])
-    key = np.unique(np.concatenate(keys))
-    np.add.at(total, key // len(model.features), model.weights[key % len(model.features)])
+    key, count = np.unique(np.concatenate(keys), return_counts=True)
+    doc = key // len(model.features)
+    np.add.at(total, doc, model.weights[key % len(model.features)] * _density(count, np.diff(w.first)[doc]))
     return 1 / (1 + np.exp(-np.clip(total, -40, 40)))
 
 
