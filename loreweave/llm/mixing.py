@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import write_shared
+from .shared import fresh, write_shared
 
 #: What the dynamic programme has to fit, beside the longest document.
 REST = 1 << 16
@@ -110,10 +110,12 @@ def target_budgets(totals: dict[str, int], weights: dict[str, float] | None = No
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, budget: int | None = None, temperature: float = 0.7, seed: int = 5) -> DataFrame:
     """The chosen rows, all columns as they were."""
     spark = docs.sparkSession
-    source = F.coalesce(F.col("source").cast("string"), F.lit(NULL_SOURCE)).alias("__lw_source")
-    tokens = n_tokens(F.col("text")).alias("__lw_tokens")
-    drawn = F.xxhash64("doc_id", F.lit(seed)).alias("__lw_draw")
-    light = write_shared(docs.select(source, tokens, drawn).where("__lw_tokens > 0"), "lengths")
+    names = docs.columns
+    src, tok, draw, cut, tied_, need, nth = fresh(names, "__lw_source", "__lw_tokens", "__lw_draw", "__lw_cut", "__lw_tied", "__lw_need", "__lw_n")
+    source = F.coalesce(F.col("source").cast("string"), F.lit(NULL_SOURCE))
+    tokens = n_tokens(F.col("text"))
+    drawn = F.xxhash64("doc_id", F.lit(seed))
+    light = write_shared(docs.select(source.alias("__lw_source"), tokens.alias("__lw_tokens"), drawn.alias("__lw_draw")).where("__lw_tokens > 0"), "lengths")
     hist = write_shared(light.groupBy("__lw_source", "__lw_tokens").count(), "histogram")
     totals = {r[0]: int(r[1]) for r in hist.groupBy("__lw_source").agg(F.sum(F.col("__lw_tokens") * F.col("count"))).toLocalIterator()}
     budgets = target_budgets(totals, weights, budget, temperature)
@@ -130,14 +132,14 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, budget: int |
     at_cut = ranked.withColumn("cut", F.max(F.when(F.col("n") == F.col("take"), F.col("__lw_draw"))).over(w)).where(F.col("__lw_draw") == F.col("cut"))
     some = at_cut.groupBy("__lw_source", "__lw_tokens", "cut").agg(F.count("*").alias("tied"), F.sum((F.col("n") <= F.col("take")).cast("bigint")).alias("need"))
     every = quota.where("take = count").select("__lw_source", "__lw_tokens", F.lit(2**63 - 1).alias("cut"), F.lit(1).cast("bigint").alias("tied"), F.lit(1).cast("bigint").alias("need"))
-    cuts = write_shared(some.unionByName(every).withColumnsRenamed({"cut": "__lw_cut", "tied": "__lw_tied", "need": "__lw_need"}), "cuts")
-    n_cuts, n_tied = cuts.agg(F.count("*"), F.count(F.when(F.col("__lw_tied") > F.col("__lw_need"), 1))).first()
+    cuts = write_shared(some.unionByName(every), "cuts").withColumnsRenamed({"__lw_source": src, "__lw_tokens": tok, "cut": cut, "tied": tied_, "need": need})
+    n_cuts, n_tied = cuts.agg(F.count("*"), F.count(F.when(F.col(tied_) > F.col(need), 1))).first()
     cuts = F.broadcast(cuts) if n_cuts <= BROADCAST_CUTS else cuts
-    names = docs.columns
-    marked = docs.withColumns({"__lw_source": source, "__lw_tokens": tokens, "__lw_draw": drawn}).join(cuts, ["__lw_source", "__lw_tokens"])
-    sure = marked.where("__lw_draw < __lw_cut or (__lw_draw = __lw_cut and __lw_tied = __lw_need)").select(*names)
+    marked = docs.withColumns({src: source, tok: tokens, draw: drawn}).join(cuts, [src, tok])
+    at = F.col(draw) == F.col(cut)
+    sure = marked.where((F.col(draw) < F.col(cut)) | (at & (F.col(tied_) == F.col(need)))).select(*names)
     if not n_tied:
         return sure
-    order = Window.partitionBy("__lw_source", "__lw_tokens").orderBy(F.col("doc_id").asc_nulls_last(), "text")
-    tied = marked.where("__lw_draw = __lw_cut and __lw_tied > __lw_need").withColumn("__lw_n", F.row_number().over(order)).where("__lw_n <= __lw_need")
+    order = Window.partitionBy(src, tok).orderBy(F.col("doc_id").asc_nulls_last(), "text")
+    tied = marked.where(at & (F.col(tied_) > F.col(need))).withColumn(nth, F.row_number().over(order)).where(F.col(nth) <= F.col(need))
     return sure.unionByName(tied.select(*names))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import bound_batches, slices, write_shared
+from .shared import bound_batches, fresh, slices, write_shared
 from .textops import shingles, simhash, words
 
 #: Bits of 256 in which near copies may differ, and of the 128 that are navigated (2.5 deviations more).
@@ -386,13 +386,14 @@ def groups(docs: DataFrame, radius: int = RADIUS, nav_radius: int = NAV_RADIUS,
 def drop_copies(docs: DataFrame, radius: int = RADIUS, nav_radius: int = NAV_RADIUS, beam: int = 16) -> DataFrame:
     """One document of each group of near copies, and all that are in none; all columns as they were."""
     found = write_shared(groups(docs, radius, nav_radius, beam), "groups")
-    drop = found.where("doc_id <> group_id").select(F.col("doc_id").alias("__lw_drop"))
+    gone, twice, nth = fresh(docs.columns, "__lw_drop", "__lw_again", "__lw_n")
+    drop = found.where("doc_id <> group_id").select(F.col("doc_id").alias(gone))
     n = drop.count()
-    kept = docs.join(F.broadcast(drop) if n <= BROADCAST_IDS else drop.hint("shuffle_hash"), docs["doc_id"] == F.col("__lw_drop"), "left_anti")
-    again = write_shared(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__lw_again")), "again")
+    kept = docs.join(F.broadcast(drop) if n <= BROADCAST_IDS else drop.hint("shuffle_hash"), docs["doc_id"] == F.col(gone), "left_anti")
+    again = write_shared(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(twice)), "again")
     m = again.count()
     if not m:
         return kept
     again = F.broadcast(again) if m <= BROADCAST_IDS else again
-    once = kept.join(again, kept["doc_id"] == F.col("__lw_again"), "left_semi").withColumn("__lw_n", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last()))).where("__lw_n = 1").drop("__lw_n")
-    return kept.join(again, kept["doc_id"] == F.col("__lw_again"), "left_anti").unionByName(once)
+    once = kept.join(again, kept["doc_id"] == F.col(twice), "left_semi").withColumn(nth, F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last()))).where(F.col(nth) == 1).drop(nth)
+    return kept.join(again, kept["doc_id"] == F.col(twice), "left_anti").unionByName(once)

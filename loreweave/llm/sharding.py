@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import bound_batches, write_shared
+from .shared import bound_batches, fresh, write_shared
 
 SHARD_ROWS = 8192
 _PLAIN = ("FileScan", "ColumnarToRow", "Project", "Filter", "WholeStageCodegen", "InputAdapter", "RDDScan", "LocalTableScan")
@@ -88,6 +88,7 @@ def shuffle_into_shards(docs: DataFrame, shards: int | None = None, shard_rows:
     """All rows and columns, with shard_id and shard_pos (from 0 in each shard), uniformly shuffled."""
     bound_batches(docs.sparkSession)
     docs = _fixed(docs.drop("shard_id", "shard_pos"))
+    key, row_ = fresh(docs.columns, "__lw_key", "__lw_row")
     per = {r[0]: r[1] for r in docs.groupBy(F.spark_partition_id()).count().toLocalIterator()}
     n = sum(per.values())
     counts = np.array([per.get(i, 0) for i in range(max(per, default=-1) + 1)], np.int64)
@@ -104,12 +105,12 @@ def shuffle_into_shards(docs: DataFrame, shards: int | None = None, shard_rows:
             k = batch.num_rows
             if at + k > len(to):
                 raise RuntimeError(f"partition {p} has more than the {len(to)} rows counted")
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(to[at : at + k]), pa.array(rng.integers(0, 2**62, k)), pa.array((np.int64(p) << 36) + np.arange(at, at + k))], [*batch.schema.names, "shard_id", "__lw_key", "__lw_row"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(to[at : at + k]), pa.array(rng.integers(0, 2**62, k)), pa.array((np.int64(p) << 36) + np.arange(at, at + k))], [*batch.schema.names, "shard_id", key, row_])
             at += k
         if at != len(to):
             raise RuntimeError(f"partition {p} has {at} rows where {len(to)} were counted")
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("shard_id", T.IntegerType()), T.StructField("__lw_key", T.LongType()), T.StructField("__lw_row", T.LongType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField("shard_id", T.IntegerType()), T.StructField(key, T.LongType()), T.StructField(row_, T.LongType())])
     dealt = docs.mapInArrow(deal, schema)
-    own = dealt.repartitionById(s, F.col("shard_id")).sortWithinPartitions("__lw_key", "__lw_row")
-    return own.withColumn("shard_pos", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)).drop("__lw_key", "__lw_row")
+    own = dealt.repartitionById(s, F.col("shard_id")).sortWithinPartitions(key, row_)
+    return own.withColumn("shard_pos", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)).drop(key, row_)

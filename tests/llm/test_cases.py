@@ -1,0 +1,172 @@
+"""Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing names, for every operator."""
+
+import datetime
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from loreweave.llm import decontaminate, mixing, neardup, secretscan, sharding, topk, toolcalls, toxicity, urlfilter, warc
+
+CLASH = ["__lw_n", "__lw_drop", "__lw_again", "__lw_source", "__lw_tokens", "__lw_draw", "__lw_cut", "__lw_key", "__lw_row", "n", "count", "take", "a", "root", "group_id", "rep", "s0", "kind", "start", "confirmed", "toxicity", "budget", "is_query"]
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, " + ", ".join(f"`{c}` string" for c in CLASH)
+LONG = " ".join(f"word{i % 997}x{i}" for i in range(60_000))
+ROWS = [
+    (None, "a text without an id but with several words in it", "en", "s1", 10),
+    (None, None, None, None, None),
+    (1, None, "en", "s1", None),
+    (2, "", "en", "s1", 0),
+    (3, " \n\t ", None, "s2", 3),
+    (4, "!!! ... ???", "en", "s2", 11),
+    (5, LONG, "en", "s1", len(LONG)),
+    (6, "one", "en", None, 3),
+    (7, "the very same words stand here twice over and over again until the end", "en", "s1", 70),
+    (7, "the very same words stand here twice over and over again until the end", "en", "s1", 70),
+    (8, "the very same words stand here twice over and over again until the end", "en", "s2", 70),
+    (9, "ÄÖÜ été 你好 \U0001f600 done", "de", "s2", 16),
+]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame([(*r, *[f"{c}-{i}" for c in CLASH]) for i, r in enumerate(ROWS)], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def labels(spark):
+    return spark.createDataFrame([(7, 1), (8, 0), (None, 1), (99, 1), (5, None), (7, 0)], "doc_id bigint, toxic int")
+
+
+@pytest.fixture(scope="module")
+def items(spark):
+    return spark.createDataFrame([(1, ROWS[8][1], "x"), (1, ROWS[8][1], "y"), (2, None, "z"), (None, "", "z"), (3, "one", "z")], "item_id bigint, text string, matched_words string")
+
+
+def rows(df):
+    return Counter(tuple(r) for r in df.collect())
+
+
+def passes(spark, labels, items):
+    """The operators that hand rows on."""
+    return {
+        "toxicity": lambda d: toxicity.drop_toxic(d, toxicity.fit(d, labels)),
+        "near duplicates": neardup.drop_copies,
+        "decontamination": lambda d: decontaminate.drop_affected(d, items),
+        "mixing": mixing.mix,
+        "sharding": lambda d: sharding.shuffle_into_shards(d).drop("shard_id", "shard_pos"),
+    }
+
+
+@pytest.mark.parametrize("name", ["toxicity", "near duplicates", "decontamination", "mixing", "sharding"])
+def test_rows_pass_as_they_were(spark, docs, none, labels, items, name):
+    f = passes(spark, labels, items)[name]
+    out = f(docs)
+    assert out.columns == docs.columns
+    assert not rows(out) - rows(docs)
+    again = f(none)
+    assert again.columns == none.columns and again.count() == 0
+
+
+def test_no_toxic_example_rejects_nothing(spark, docs, none):
+    nobody = spark.createDataFrame([], "doc_id bigint, toxic int")
+    assert toxicity.toxic_documents(docs, toxicity.fit(docs, nobody)).count() == 0
+    assert toxicity.drop_toxic(docs, toxicity.fit(docs, nobody)).count() == len(ROWS)
+
+
+def test_near_duplicates_keep_wordless_and_unknown(docs, none):
+    found = {r["doc_id"]: r["group_id"] for r in neardup.groups(docs).collect()}
+    assert found == {7: 7, 8: 7}
+    kept = Counter(r["doc_id"] for r in neardup.drop_copies(docs).collect())
+    assert kept == Counter([None, None, 1, 2, 3, 4, 5, 6, 7, 9])
+    assert neardup.groups(none).count() == 0
+
+
+def test_matches_of_short_and_empty_items(docs, none, items):
+    got = sorted((r["doc_id"], r["item_id"], r["matched_words"]) for r in decontaminate.matches(docs, items).collect())
+    assert got == [(7, 1, 14), (8, 1, 14)]
+    assert Counter(r["doc_id"] for r in decontaminate.drop_affected(docs, items).collect())[7] == 0
+    assert decontaminate.matches(none, items).count() == 0
+    assert decontaminate.matches(docs, items.where("false")).count() == 0
+    assert decontaminate.drop_affected(docs, items.where("false")).count() == len(ROWS)
+
+
+def test_wordless_documents_are_never_mixed(docs):
+    got = {r["doc_id"] for r in mixing.mix(docs, temperature=1.0).collect()}
+    assert got & {1, 2, 3} == set()
+
+
+def test_shards_hold_every_row(docs, none):
+    out = sharding.shuffle_into_shards(docs, shards=5)
+    assert rows(out.select(*docs.columns)) == rows(docs)
+    sizes = Counter(r["shard_id"] for r in out.collect())
+    assert sorted(sizes.values()) == [2, 2, 2, 3, 3]
+    assert sharding.shuffle_into_shards(none).count() == 0
+    named = sharding.shuffle_into_shards(docs.withColumns({"shard_id": F.lit("x"), "shard_pos": F.lit("y")}), shards=2)
+    assert dict(named.dtypes)["shard_id"] == "int" and named.count() == len(ROWS)
+
+
+def test_secrets(spark, docs, none):
+    assert secretscan.link(none).count() == 0
+    assert secretscan.link(docs).count() == 0
+    key = "AKIA" + "A" * 16
+    t = f"x {key} then password = abcdefgh99 and https://a.example/b"
+    d = spark.createDataFrame([(1, t, "q"), (1, t, "q"), (None, t, "q"), (2, "password=abcdefgh99", "q"), (3, key, "q"), (4, "password=abcdefgh99" + " " * 600 + "https://a.example", "q"), (5, "a " * 200_000 + t, "q")], "doc_id bigint, text string, kind string")
+    got = Counter((r["doc_id"], r["kind"], r["strength"]) for r in secretscan.link(d).collect())
+    parts = [("id", "linked"), ("secret", "linked"), ("endpoint", "linked")]
+    assert got == Counter([(i, *p) for i in (1, None, 5) for p in parts] + [(3, "id", "alone")])
+
+
+def test_top_k(spark):
+    v = spark.createDataFrame([(1, [1.0, 0.0], 0), (1, [0.5, 0.0], 0), (2, [1.0, 0.0], 0), (3, [1.0, 0.0], 0), (4, None, 0), (None, [1.0, 1.0], 0), (5, [1.0], 0), (6, [float("nan"), 1.0], 0), (7, [0.0, 1.0], 0)], "vec_id bigint, embedding array<float>, score int")
+    got = sorted(tuple(r) for r in topk.top_k(v, k=2).collect())
+    assert got == [(1, 1, 2, 0.5), (1, 2, 3, 0.5), (2, 1, 3, 1.0), (2, 2, 1, 0.5), (3, 1, 2, 1.0), (3, 2, 1, 0.5), (7, 1, 1, 0.0), (7, 2, 2, 0.0)]
+    assert topk.top_k(v.where("false")).count() == 0
+    assert topk.top_k(v.where("vec_id = 7")).count() == 0
+
+
+def test_warc(spark):
+    p = spark.createDataFrame([(1, "http://a/", "<p>", 0), (None, None, None, 0), (2, "", "", 0), (2, "", "", 0), (3, "u\r\nv", "x" * 3_000_000, 0)], "page_id bigint, url string, html string, record int")
+    got = Counter((r["page_id"], r["uri"], r["status"]) for r in warc.normalise_pages(spark, p).collect())
+    assert got == Counter({(1, "http://a/", "ok"): 1, (None, None, "ok"): 1, (2, "", "ok"): 2, (3, "u%0D%0Av", "ok"): 1})
+    assert warc.normalise_pages(spark, p.where("false")).count() == 0
+
+
+def test_tool_calls(spark):
+    calls = spark.createDataFrame([(1, "c", 2, "lookup", '{"key":"k"}', ["a"], 0), (1, "a", 1, "lookup", None, None, 0), (1, "a", 1, "lookup", '{"key":"k"}', None, 0), (1, None, 1, "lookup", "{}", None, 0), (None, "z", 1, "lookup", "{}", None, 0), (1, "b", None, None, "no json", ["b"], 0)], "conv_id bigint, call_id string, turn bigint, name string, arguments string, depends_on array<string>, json int")
+    results = spark.createDataFrame([(1, "a", 3, None), (1, "lost", 4, "x"), (2, "only", 1, ""), (1, "c", 5, "late"), (1, "c", 4, "soon")], "conv_id bigint, call_id string, turn bigint, content string")
+    got = {r["conv_id"]: r for r in toolcalls.link(calls, results).collect()}
+    assert set(got) == {1, 2}
+    assert tuple(got[1])[1:5] == (3, 2, 1, 1)
+    assert got[1]["json"] == '{"calls":[{"arguments":{"key":"k"},"errors":[],"id":"a","name":"lookup","result":null},{"arguments":{"key":"k"},"errors":[],"id":"c","name":"lookup","result":"soon"},{"arguments":"no json","cyclic":true,"errors":["not JSON"],"id":"b","name":null,"result":null}],"conversation":1,"orphans":[{"content":"x","id":"lost"}]}'
+    assert got[2]["json"] == '{"calls":[],"conversation":2,"orphans":[{"content":"","id":"only"}]}'
+    assert toolcalls.link(calls.where("false"), results.where("false")).count() == 0
+
+
+def test_url_list(spark):
+    day = lambda n: datetime.date(2024, 1, n)
+    pages = spark.createDataFrame([(1, "http://x.a.example/p", day(5), "q"), (1, "http://x.a.example/p", day(5), "q"), (2, None, day(5), "q"), (3, "http://a.example/", None, "q"), (None, "http://U@A.Example.:80/", day(1), "q"), (4, "not a url", day(2), "q")], "page_id bigint, url string, fetched date, domain string")
+    entries = spark.createDataFrame([("a.example", "block", day(2), 0), ("A.example", "allow", day(2), 0), ("x.a.example", "allow", day(5), 0), ("a.example", "allow", day(1), 0), (None, "block", day(1), 0), ("a.example", None, day(3), 0), ("a.example", "block", None, 0)], "domain string, action string, since date, host int")
+    got = Counter((r["page_id"], r["action"]) for r in urlfilter.evaluate(pages, entries).collect())
+    assert got == Counter({(1, "allow"): 2, (2, "none"): 1, (3, "none"): 1, (None, "allow"): 1, (4, "none"): 1})
+    assert Counter(r["action"] for r in urlfilter.evaluate(pages, entries.where("false")).collect()) == {"none": 6}
+    assert urlfilter.evaluate(pages.where("false"), entries).count() == 0
+
+
+def test_stages(spark, docs, none, labels, items, tmp_path):
+    pages = docs.drop(*CLASH)
+    for name, table in (("documents", pages), ("labels", labels), ("benchmark", items)):
+        table.write.parquet(f"{tmp_path}/{name}.parquet")
+    now = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        now = stage(spark, now, str(tmp_path))
+        assert now.columns == pages.columns
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.columns == [*pages.columns, "shard_id", "shard_pos"]
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none.drop(*CLASH), str(tmp_path)).count() == 0
