@@ -1,0 +1,411 @@
+"""Every operator against brute force, an exact round trip or held-out accuracy."""
+
+import gzip
+import io
+import json
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+import corpus_pipeline
+from loreweave.llm import decontaminate, mixing, neardup, queries, secretscan, sharding, textops, topk, toolcalls, toxicity, urlfilter, warc
+
+RNG = random.Random(1)
+VOCABULARY = ["".join(RNG.choice("abcdefghijklmnop") for _ in range(RNG.randint(3, 8))) for _ in range(3000)]
+
+
+def prose(rng, n):
+    return " ".join(rng.choice(VOCABULARY) for _ in range(n))
+
+
+def plain_words(text):
+    return re.findall(r"[a-z0-9]+", (text or "").lower())
+
+
+# --- 1
+
+
+def test_toxicity_held_out(spark):
+    rng = random.Random(2)
+    bad = ["vileword", "nastyish", "hatefuly"]
+
+    def make(i, toxic):
+        w = prose(rng, 150).split()
+        if toxic:
+            for _ in range(6):
+                w.insert(rng.randrange(len(w)), rng.choice(bad))
+        return i, " ".join(w), toxic
+
+    made = [make(i, i % 5 == 0) for i in range(800)]
+    docs = spark.createDataFrame([m[:2] for m in made], "doc_id bigint, text string")
+    # of the first half, every second toxic one is confirmed, and some clean ones are labelled
+    labels = spark.createDataFrame([(i, int(t)) for i, _, t in made[:400] if (t and i % 2 == 0) or (not t and i % 3 == 0)], "doc_id bigint, toxic int")
+    got = {r["doc_id"] for r in toxicity.toxic_documents(docs, toxicity.fit(docs, labels, class_prior=0.2)).collect()}
+    held = [(i, t) for i, _, t in made[400:]]
+    assert np.mean([i in got for i, t in held if t]) >= 0.95
+    assert np.mean([i in got for i, t in held if not t]) <= 0.01
+
+
+def test_risk_is_corrected_for_positives_among_the_unlabelled():
+    rng = np.random.default_rng(0)
+    x_p = (rng.random((300, 2)) < (0.9, 0.1)).astype(np.float32)
+    x_u = np.concatenate([(rng.random((300, 2)) < (0.9, 0.1)), rng.random((700, 2)) < (0.05, 0.5)]).astype(np.float32)
+    w, b = toxicity.nnpu_train(x_p, x_u, 0.3)
+    p = 1 / (1 + np.exp(-(x_u @ w + b)))
+    assert p[:300].mean() > 0.75 and p[300:].mean() < 0.15
+
+
+def test_the_end_of_a_long_text_counts(spark):
+    model = toxicity.ToxicModel(np.sort((textops.words(pa.array(["vile"])).hashes >> np.uint64(32)).astype(np.uint32)), np.array([9.0]), -3.0, 0.1)
+    s = toxicity.score(pa.array(["calm " * 400_000 + "vile " * 20_000, "calm " * 10, ""], pa.large_string()), model)
+    assert s[0] > 0.5 > s[1] == s[2]
+
+
+# --- 2
+
+
+def _kind(x):
+    return "id" if re.fullmatch(secretscan.ID, x) else "secret" if re.fullmatch(secretscan.SECRET, x) else "endpoint"
+
+
+def test_secrets_by_brute_force(spark):
+    rng = random.Random(3)
+    make = [lambda: "AKIA" + "".join(rng.choice("ABCDEF0123456789") for _ in range(16)), lambda: f"password={rng.randrange(10**9):010d}", lambda: f"https://h{rng.randrange(99)}.example/x"]
+    texts = []
+    for i in range(120):
+        t = ""
+        for _ in range(rng.randint(0, 5)):
+            t += prose(rng, rng.choice([1, 20, 70, 90, 200])) + " " + rng.choice(make)() + " "
+        texts.append((i, t))
+    want = Counter()
+    for i, t in texts:
+        p = [(_kind(m[0]), m.start(), m.end()) for m in re.finditer(secretscan.ANY, t)]
+        for k, s, e in p:
+            near = [k2 for k2, s2, e2 in p if k2 != k and s2 <= e + secretscan.SCOPE and s <= e2 + secretscan.SCOPE]
+            if near or k == "id":
+                want[(i, k, s, e, near.count("id"), near.count("secret"), near.count("endpoint"), "linked" if near else "alone")] += 1
+    got = secretscan.link(spark.createDataFrame(texts, "doc_id bigint, text string")).drop("digest")
+    assert Counter(tuple(r) for r in got.collect()) == want and len(want) > 100
+
+
+# --- 3
+
+
+def test_graph_search_recall():
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 2**63, (5000, 4), dtype=np.int64).view(np.uint64)
+    near = base[:1500].copy()
+    for row in near:
+        for b in rng.choice(256, rng.integers(1, 40), replace=False):
+            row[b >> 6] ^= np.uint64(1) << np.uint64(b & 63)
+    x = np.concatenate([base, near, np.repeat(base[:1], 400, 0) ^ (np.uint64(1) << rng.integers(0, 63, (400, 4)).astype(np.uint64))])
+    g = neardup.SmallWorld(x)
+    assert 8 * neardup.EXACT_BELOW < g.n
+    width, recall = g.audited_width(x, neardup.NAV_RADIUS, neardup.RADIUS, 8)
+    assert recall >= 0.9
+    r, p = neardup._pairs(g, x, x, width, neardup.NAV_RADIUS, neardup.RADIUS)
+    got = set(zip(r.tolist(), p.tolist()))
+    want = set()
+    for i in range(0, len(x), 64):
+        a, b = np.nonzero(neardup._distance(x[None], x[i : i + 64, None]) <= neardup.RADIUS)
+        want |= set(zip((a + i).tolist(), b.tolist()))
+    other = {q for q in want if q[0] != q[1]}
+    assert got <= want and len(got & other) >= 0.9 * len(other)
+
+
+def test_near_duplicates_by_brute_force(spark):
+    rng = random.Random(5)
+    texts, truth = [], {}
+    for i in range(150):
+        t = prose(rng, 120)
+        texts.append((len(texts), t))
+        truth[len(texts) - 1] = i
+        for _ in range(rng.choice([0, 0, 1, 3])):
+            w = t.split()
+            for _ in range(rng.randint(0, 4)):
+                w[rng.randrange(len(w))] = rng.choice(VOCABULARY)
+            texts.append((len(texts), " ".join(w)))
+            truth[len(texts) - 1] = i
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string").repartition(3)
+    found = {r["doc_id"]: r["group_id"] for r in neardup.groups(docs, shards=3).collect()}
+    size = Counter(truth.values())
+    true = {d for d, g in truth.items() if size[g] > 1}
+    assert len(set(found) & true) >= 0.9 * len(true) and not set(found) - true
+    assert all(truth[d] == truth[g] for d, g in found.items())
+    kept = Counter(truth[r["doc_id"]] for r in neardup.drop_copies(docs).collect())
+    assert set(kept) == set(truth.values()) and sum(kept.values()) <= len(size) + 0.1 * len(true)
+
+
+def test_components_by_union_find(spark):
+    rng = random.Random(6)
+    links = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(1000 + i, 1001 + i) for i in range(70)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    got = {r["node"]: r["root"] for r in neardup.components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
+    assert got == {x: find(x) for x in root if find(x) != x}
+
+
+def test_simhash_by_brute_force():
+    rng = np.random.default_rng(7)
+    counts = np.array([1, 0, 300, 7, 1000])
+    f = rng.integers(0, 2**63, counts.sum(), dtype=np.int64).view(np.uint64)
+    got = textops.simhash(f, counts)
+    at = 0
+    for i, c in enumerate(counts):
+        for w, salt in enumerate(textops._SALTS):
+            h = textops.mix(f[at : at + c] ^ salt)
+            want = sum(1 << b for b in range(64) if c and 2 * int(((h >> np.uint64(b)) & np.uint64(1)).sum()) > c)
+            assert int(got[i, w]) == want
+        at += c
+
+
+# --- 4
+
+
+@pytest.mark.parametrize("group_rows", [16, 1000])
+def test_top_k_by_brute_force(spark, group_rows):
+    rng = np.random.default_rng(8)
+    x = rng.integers(-3, 4, (90, 12)).astype(np.float32)
+    x[50:60] = x[40]
+    s = x.astype(float) @ x.astype(float).T
+    np.fill_diagonal(s, -np.inf)
+    want = {(i, n + 1, int(j), s[i, j]) for i in range(90) for n, j in enumerate(np.lexsort((np.arange(90), -s[i]))[:7])}
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id bigint, embedding array<float>")
+    assert {tuple(r) for r in topk.top_k(v, k=7, lists=3, group_rows=group_rows).collect()} == want
+
+
+# --- 5
+
+
+def test_warc_round_trip(spark, tmp_path):
+    pages = [(i, f"http://h{i}/", prose(RNG, RNG.choice([0, 5, 5000]))) for i in range(40)]
+    df = spark.createDataFrame(pages, "page_id bigint, url string, html string").repartition(3)
+    files = warc.write_monolithic(df, f"file://{tmp_path}/in").cache()
+    paths = [r["path"] for r in files.collect()]
+    assert all(open(p[7:], "rb").read().count(b"\x1f\x8b\x08\x00\x00") == 1 for p in paths)
+    index = warc.normalise(files, f"file://{tmp_path}/out").collect()
+    seen = {}
+    for r in index:
+        data = open(f"{tmp_path}/out/{r['file']}", "rb").read()
+        whole = gzip.decompress(data[r["offset"] : r["offset"] + r["length"]])
+        assert len(whole) == r["raw_length"] and r["status"] == "ok"
+        seen[r["page_id"]] = (r["uri"], whole.split(b"\r\n\r\n", 1)[1][:-4].decode())
+    assert seen == {i: (u, h) for i, u, h in pages}
+    for p in paths:
+        name = p.rsplit("/", 1)[1]
+        assert gzip.open(f"{tmp_path}/out/{name}").read() == gzip.open(p[7:]).read()
+        side = [json.loads(x) for x in open(f"{tmp_path}/out/{name}.idx.jsonl")]
+        assert [x["offset"] for x in side] == [r["offset"] for r in index if r["file"] == name]
+
+
+def test_broken_streams_keep_what_came_before():
+    raw = b"".join(warc.record(i, "u", "body " * 500) for i in range(3))
+    done = gzip.compress(raw)
+    read = lambda data: list(warc.split_members(io.BytesIO(data), lambda _: None))
+    assert [r["status"] for r in read(done)] == ["ok"] * 3
+    assert [r["status"] for r in read(done[:-30])][-1] == "truncated"
+    assert [r["status"] for r in read(gzip.compress(raw + b"junk\r\n\r\n"))] == ["ok"] * 3 + ["malformed"]
+    assert [r["status"] for r in read(b"".join(gzip.compress(warc.record(i, "u", "x")) for i in range(4)))] == ["ok"] * 4
+    assert read(b"") == [] and zlib.crc32(b"") == 0
+
+
+# --- 6
+
+
+def test_order_is_topological():
+    rng = random.Random(9)
+    for _ in range(50):
+        ids = [f"c{i}" for i in range(12)]
+        calls = [(rng.randrange(4), c, [ids[rng.randrange(12)] for _ in range(rng.choice([0, 0, 1, 2]))]) for c in ids]
+        at, done = toolcalls.order(calls)
+        assert sorted(at) == list(range(12))
+        place = {calls[i][1]: n for n, i in enumerate(at)}
+        free = {calls[i][1] for i in at[:done]}
+        for i in at[:done]:
+            assert all(d in free and place[d] < place[calls[i][1]] for d in calls[i][2])
+        for i in at[done:]:
+            assert any(d not in free for d in calls[i][2])
+
+
+def test_arguments_against_schemas():
+    ok = lambda n, a: toolcalls.check(n, a, toolcalls.SCHEMAS)[1]
+    assert ok("search", '{"query":"q","limit":3}') == []
+    assert ok("search", '{"query":1,"limit":true,"x":0}') == ["limit is not integer", "query is not string", "undeclared x"]
+    assert ok("search", None) == ["missing limit", "missing query"]
+    assert ok("nothing", "{}") == ["unknown tool"] and ok("search", "[]") == ["not an object"] and ok("search", "{") == ["not JSON"]
+    assert toolcalls.canonical({"b": 2.0, "a": [1.5, {"é": None}]}) == '{"a":[1.5,{"é":null}],"b":2}'
+
+
+# --- 7
+
+
+def test_suffix_array_by_sorting():
+    rng = np.random.default_rng(10)
+    for n, depth in ((1, 4), (200, 7), (500, 40)):
+        codes = rng.integers(0, 4, n)
+        for f in (decontaminate.suffix_array, decontaminate._suffix_array_large):
+            sa = f(codes, depth)
+            assert sorted(sa.tolist()) == list(range(n))
+            heads = [tuple(codes[i : i + depth].tolist()) for i in sa]
+            assert heads == sorted(heads)
+
+
+def test_matches_by_brute_force(spark):
+    rng = random.Random(11)
+    items = [(i, prose(rng, rng.choice([4, 8, 30, 60]))) for i in range(12)]
+    docs = []
+    for i in range(80):
+        w = prose(rng, rng.choice([3, 60, 300])).split()
+        if rng.random() < 0.9:
+            t = rng.choice(items)[1].split()
+            a = rng.randrange(len(t))
+            at = rng.randrange(len(w))
+            w[at:at] = t[a : a + rng.choice([5, 12, 13, 14, 99])]
+        docs.append((i, (", " if i % 2 else " ").join(w).title()))
+    want = {}
+    for d, t in docs:
+        dw = plain_words(t)
+        for q, u in items:
+            qw = plain_words(u)
+            if len(qw) < decontaminate.LEAST_ITEM:
+                continue
+            best = 0
+            for i in range(len(dw)):
+                for j in range(len(qw)):
+                    k = 0
+                    while i + k < len(dw) and j + k < len(qw) and dw[i + k] == qw[j + k]:
+                        k += 1
+                    best = max(best, k)
+            if best >= min(decontaminate.MIN_WORDS, len(qw)):
+                want[(d, q)] = best
+    df, bench = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    for most in (50, decontaminate.ARRAY_WORDS):
+        rows = decontaminate.matches(df, bench, array_words=most).collect()
+        assert {(r["doc_id"], r["item_id"]): r["matched_words"] for r in rows} == want and len(want) > 10
+        texts, parts = dict(docs), dict(items)
+        for r in rows:
+            n, d, q = r["matched_words"], plain_words(texts[r["doc_id"]]), plain_words(parts[r["item_id"]])
+            assert d[r["doc_word"] : r["doc_word"] + n] == q[r["item_word"] : r["item_word"] + n]
+            assert plain_words(texts[r["doc_id"]].encode()[r["doc_byte"] :].decode())[:n] == q[r["item_word"] : r["item_word"] + n]
+    kept = {r["doc_id"] for r in decontaminate.drop_affected(df, bench).collect()}
+    assert kept == {d for d, _ in docs} - {d for d, _ in want}
+
+
+# --- 8
+
+
+def test_matrix_and_shards(spark):
+    counts, sizes = np.array([5, 0, 17, 8, 30]), sharding.shard_sizes(60, 7)
+    m = np.stack([sharding.matrix_row(counts, sizes, p, 3) for p in range(5)])
+    assert (m.sum(1) == counts).all() and (m.sum(0) == sizes).all() and (m >= 0).all()
+    mean = np.mean([sharding.matrix_row(counts, sizes, 4, s) for s in range(3000)], 0)
+    assert np.abs(mean - sizes / 2).max() < 0.15
+    var = np.var([sharding.matrix_row(np.array([10, 10]), np.array([10, 10]), 0, s)[0] for s in range(3000)])
+    assert abs(var - 10 * 0.25 * 10 / 19) < 0.15
+    rng = np.random.default_rng(1)
+    big = [sharding.hypergeometric(rng, 2 * 10**9, 10**9, 900) for _ in range(800)]
+    assert abs(np.mean(big) - 600) < 3 and abs(np.var(big) - 200) < 45
+
+
+def test_shuffle_is_uniform_and_repeats(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
+    a = sorted(tuple(r) for r in sharding.shuffle_into_shards(docs, shards=7).drop("text").collect())
+    assert a == sorted(tuple(r) for r in sharding.shuffle_into_shards(docs, shards=7).drop("text").collect())
+    n = len(a)
+    assert sorted(Counter(s for _, s, _ in a).values()) == sorted(sharding.shard_sizes(n, 7).tolist())
+    for s in range(7):
+        assert sorted(p for _, x, p in a if x == s) == list(range(sum(x == s for _, x, _ in a)))
+    first = {d for d, s, _ in a if s == 0}
+    again = {r[0] for r in sharding.shuffle_into_shards(docs, shards=7, seed=99).where("shard_id = 0").select("doc_id").collect()}
+    assert first != again
+
+
+# --- 9
+
+
+def test_url_list_by_brute_force(spark):
+    rng = random.Random(12)
+    hosts = ["a.b.c.example", "b.c.example", "c.example", "x.example", "y.x.example"]
+    entries = [(rng.choice(hosts + ["example"]), rng.choice(["block", "allow"]), rng.randrange(20)) for _ in range(25)]
+    pages = [(i, f"https://{rng.choice(hosts)}/p{i}", rng.randrange(24)) for i in range(200)]
+
+    def decide(url, t):
+        h = url.split("/")[2].split(".")
+        for i in range(len(h)):
+            mine = [(s, a) for d, a, s in entries if d == ".".join(h[i:]) and s <= t]
+            if mine:
+                return max(mine)[1]
+        return "none"
+
+    got = urlfilter.evaluate(spark.createDataFrame(pages, "page_id bigint, url string, fetched int"), spark.createDataFrame(entries, "domain string, action string, since int"))
+    assert {r["page_id"]: r["action"] for r in got.collect()} == {i: decide(u, t) for i, u, t in pages}
+
+
+# --- 10
+
+
+def test_fit_by_brute_force():
+    rng = random.Random(13)
+    for _ in range(60):
+        lengths = np.array(sorted(rng.sample(range(2, 40), 5)))
+        counts = np.array([rng.randint(0, 4) for _ in lengths])
+        budget = rng.randint(0, 150)
+        sums = {0}
+        for w, c in zip(lengths.tolist(), counts.tolist()):
+            sums = {s + k * w for s in sums for k in range(c + 1)}
+        want = max(s for s in sums if s <= budget)
+        for take in (mixing.bounded_fit(lengths, counts, budget), mixing.fit_counts(lengths, counts, budget, 1)):
+            assert (take >= 0).all() and (take <= counts).all() and int((take * lengths).sum()) <= budget
+        assert int((mixing.bounded_fit(lengths, counts, budget) * lengths).sum()) == want
+
+
+def test_mix_meets_its_budgets(spark):
+    rng = random.Random(14)
+    docs = [(i, prose(rng, rng.randint(1, 60)), rng.choice("xxxxyyz")) for i in range(600)] + [(i, "same id and same text", "z") for i in (7, 7, 7, 8, 8)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string, source string")
+    total = Counter()
+    for _, t, s in docs:
+        total[s] += len(t.split())
+    weights, budget = {"x": 1.0, "y": 2.0, "z": 1.0}, 4000
+    got = mixing.mix(df, weights, budget).collect()
+    have = Counter()
+    for r in got:
+        have[r["source"]] += len(r["text"].split())
+    assert have == {k: min(total[k], int(budget * w / 4)) for k, w in weights.items()}
+    assert not Counter(tuple(r) for r in got) - Counter(docs)
+    assert sorted(map(tuple, got)) == sorted(map(tuple, mixing.mix(df.repartition(5), weights, budget).collect()))
+    assert {r["source"] for r in mixing.mix(df, {"x": 1.0}).collect()} == {"x"}
+
+
+# --- all together
+
+
+def test_pipeline_and_queries(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    whole = {r["doc_id"]: r["text"] for r in docs.collect()}
+    toxic = {r["doc_id"] for r in queries.op1_toxicity(spark, small).collect()}
+    out = corpus_pipeline.run(spark, small).collect()
+    kept = [r["doc_id"] for r in out]
+    assert len(kept) == len(set(kept)) and set(kept) <= set(whole) - toxic
+    texts = [whole[i] for i in kept]
+    assert len(set(texts)) == len(texts)
+    for r in spark.read.parquet(f"{small}/benchmark.parquet").collect():
+        q = plain_words(r["text"])
+        heads = {tuple(q[i : i + 13]) for i in range(len(q) - 12)}
+        for t in texts:
+            w = plain_words(t)
+            assert not any(tuple(w[i : i + 13]) in heads for i in range(len(w) - 12))
+    assert sorted(Counter(r["shard_id"] for r in out).values()) == sorted(sharding.shard_sizes(len(out), max(1, -(-len(out) // sharding.SHARD_ROWS))).tolist())
