@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.shared import cut
+
 FANOUT = 128
 #: Walks deeper than this cut their lineage each level.
 CUT_DEPTH = 3
@@ -73,12 +75,12 @@ def walk(edges: DataFrame, seeds: DataFrame, depth: int, types: list[str] | None
             step = step.withColumn("n", F.row_number().over(Window.partitionBy("src", "edge_type").orderBy("dst"))).where(F.col("n") <= fanout)
         frontier = step.select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti").withColumn("depth", F.lit(level))
         if level >= CUT_DEPTH:
-            frontier = frontier.checkpoint()
+            frontier = cut(frontier)
         seen = seen.unionByName(frontier)
         if level > CUT_DEPTH:
             if frontier.isEmpty():
                 break
-            seen = seen.checkpoint()
+            seen = cut(seen)
     return seen
 
 
@@ -113,7 +115,7 @@ def path_exists(edges: DataFrame, pairs: DataFrame, depth: int, types: list[str]
     for level in range(1, depth + 1):
         frontier = frontier.where("at <> dst").join(e, "at").select("src", "dst", F.col("next").alias("at")).distinct().join(seen, ["src", "dst", "at"], "left_anti")
         if level >= CUT_DEPTH:
-            frontier = frontier.checkpoint()
+            frontier = cut(frontier)
         done = done.unionByName(frontier.where("at = dst").select("src", "dst"))
         seen = seen.unionByName(frontier)
     return p.join(done.distinct().withColumn("reachable", F.lit(True)), ["src", "dst"], "left").select("src", "dst", F.coalesce("reachable", F.lit(False)).alias("reachable"))
@@ -124,7 +126,7 @@ def components(links: DataFrame) -> DataFrame:
 
     Alternating large and small stars; rounds are checkpointed, so lineage stays short.
     """
-    now = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().checkpoint()
+    now = cut(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
     w = Window.partitionBy("a")
     while True:
@@ -137,7 +139,7 @@ def components(links: DataFrame) -> DataFrame:
         large = each.withColumn("m", F.least("a", F.min("b").over(w))).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         least = large.where("a <> b").distinct().withColumn("m", F.min("b").over(w))
         small = least.select("a", F.col("m").alias("b")).unionByName(least.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")))
-        now = small.distinct().checkpoint()
+        now = cut(small.distinct())
 
 
 def needs_compaction(n_base: int, n_delta: int, layers: int) -> bool:
