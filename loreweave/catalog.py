@@ -15,6 +15,7 @@ from .model.projection import BILLION, DAY, EPOCH, Model, sql
 from .operators import constraints as K
 from .operators import crdt, extraction, federation, graph, inference, lifecycle, setcover
 from .operators import invariants as I
+from .operators import registry
 from .operators import retrieval as R
 
 _Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -337,13 +338,13 @@ def graph_walk_fanout(m):
     return graph.walk(m.current_edges(), _seeds(m, 6 * BILLION + 1, 6 * BILLION + 2), 2, fanout=2)
 
 
-_PAIRS = "(select 6000000000 + o_orderkey as src, 1000000000 + (o_orderkey % 5) as dst from orders where o_custkey <= 20)"
+_PAIRS = "(select 6000000000 + o_orderkey as src, 1000000000 + (o_orderkey % 5) as dst from orders )"
 
 
 @query(f"""with r as (select p.src, p.dst, exists (select 1 from edges a join edges b on b.src = a.dst join edges c on c.src = b.dst where a.src = p.src and c.dst = p.dst and a.edge_type = 'DERIVED_FROM' and b.edge_type = 'DERIVED_FROM' and c.edge_type = 'DERIVED_FROM') as reachable from {_PAIRS} p)
     select src, dst, reachable from r""", "edges")
 def graph_path_exists(m):
-    pairs = m.table("orders").where("o_custkey <= 20").select((F.lit(6 * BILLION) + F.col("o_orderkey")).alias("src"), (F.lit(BILLION) + F.col("o_orderkey") % 5).alias("dst"))
+    pairs = m.table("orders").select((F.lit(6 * BILLION) + F.col("o_orderkey")).alias("src"), (F.lit(BILLION) + F.col("o_orderkey") % 5).alias("dst"))
     return graph.path_exists(m.current_edges(), pairs, 3, ["DERIVED_FROM"])
 
 
@@ -479,13 +480,13 @@ def stats(m):
     return n(m.atoms(), "atoms").crossJoin(n(cur, "current_atoms")).crossJoin(n(m.claims(), "claims")).crossJoin(n(m.current_edges(), "edges"))
 
 
-@query("""with j as (select distinct subj, pred from active where event_id % 3 <> 0), a as (select distinct subj, pred from active where event_id % 3 <> 1)
-    select coalesce(j.subj, a.subj) as subj, coalesce(j.pred, a.pred) as pred, case when a.subj is null then 'missing' else 'orphan' end as finding,
-    case when a.subj is null then 'assert' else 'tombstone' end as action from j full join a on j.subj = a.subj and j.pred = a.pred where j.subj is null or a.subj is null""", "active")
+@query("""with j as (select distinct subj, pred, obj from active where event_id % 3 <> 0), a as (select distinct subj, pred, obj from active where event_id % 3 <> 1)
+    select coalesce(j.subj, a.subj) as subj, coalesce(j.pred, a.pred) as pred, coalesce(j.obj, a.obj) as obj, case when a.subj is null then 'missing' else 'orphan' end as finding,
+    case when a.subj is null then 'assert' else 'tombstone' end as action from j full join a on j.subj = a.subj and j.pred = a.pred and j.obj = a.obj where j.subj is null or a.subj is null""", "active")
 def relation_audit(m):
     a = m.active_claims()
-    found = lifecycle.audit_relations(a.where("event_id % 3 <> 0"), a.where("event_id % 3 <> 1"), ["subj", "pred"])
-    return found.join(lifecycle.repair_relations(found, ["subj", "pred"]), ["subj", "pred"])
+    found = lifecycle.audit_relations(a.where("event_id % 3 <> 0"), a.where("event_id % 3 <> 1"), ["subj", "pred", "obj"])
+    return found.join(lifecycle.repair_relations(found, ["subj", "pred", "obj"]), ["subj", "pred", "obj"])
 
 
 @query("""select doc_id as record_id, case when doc_id % 13 = 0 then 'length' when doc_id % 17 = 0 then 'identity' else '' end as errors from documents where text is not null""")
@@ -762,9 +763,9 @@ def mapping_trust(m):
     return m.mappings().select("local_id", federation.trust_check(federation.TrustPolicy(), t).alias("by_default"), federation.trust_check(federation.TrustPolicy.strict(), t).alias("by_strict"))
 
 
-@query(f"select local_id, remote_base, remote_id from mappings where local_id % 3 = 0 and confidence > 0 and confidence <= 1 and (valid_until is null or {EPOCH + 20 * DAY} < valid_until)", "mappings")
+@query(f"select local_id, remote_base, remote_id from mappings where confidence > 0 and confidence <= 1 and (valid_until is null or {EPOCH + 20 * DAY} < valid_until)", "mappings")
 def find_mappings_valid(m):
-    ids = m.table("documents").where("doc_id % 3 = 0").select(F.col("doc_id").alias("local_id"))
+    ids = m.table("documents").select(F.col("doc_id").alias("local_id"))
     return federation.find_mappings(m.mappings(), ids, EPOCH + 20 * DAY).select("local_id", "remote_base", "remote_id")
 
 
@@ -779,3 +780,159 @@ def federated_discover(m):
 def fetch_trusted(m):
     a = m.atoms().withColumn("remote_id", F.col("node_num") - 7 * BILLION)
     return federation.fetch_trusted(a, m.mappings(), federation.TrustPolicy(), EPOCH + 20 * DAY).select("atom_id", "trust")
+
+
+@query("select local_id, remote_base, remote_id from mappings where confidence > 0 and confidence <= 1", "mappings")
+def mapping_first(m):
+    from .operators.federation import first_mapping
+
+    ok = m.mappings().where("confidence > 0 and confidence <= 1")
+    return first_mapping(ok.unionByName(ok.withColumn("remote_id", F.col("remote_id") + 1))).select("local_id", "remote_base", "remote_id")
+
+
+@query("select round(avg(case when p_type = t then 1.0 else 0.0 end), 6)::double as compatibility, avg(case when p_type = t then 1.0 else 0.0 end) >= 0.5 as accepted from (select p_type, case when p_size > 25 then 'other' else p_type end as t from part)")
+def negotiate_schemas(m):
+    p = m.table("part").select(F.col("p_partkey").alias("field"), F.col("p_type").alias("type"), "p_size")
+    r = federation.negotiate(p, p.withColumn("type", F.when(F.col("p_size") > 25, "other").otherwise(F.col("type"))))
+    return r.select(F.round("compatibility", 6).alias("compatibility"), "accepted")
+
+
+@query("""select doc_id as gap_id, s.shard_id, round(greatest(doc_id % 256, 1) / 255.0::double * 0.9 * 1.05 / 1.1 * (0.5 + s.trust / 10000.0) * (case when s.mask & 3 = 3 then 1.05 else 1.0 end), 6)::double as utility
+    from documents, (values (0, 9000, 15), (1, 6000, 1), (2, 3000, 2), (3, 500, 12)) as s(shard_id, trust, mask) where s.trust >= 1000 and s.mask & 3 <> 0""")
+def planner_federated(m):
+    from .plans.planner import Shard, federated_utility, utility
+
+    gaps = m.table("documents").select(F.col("doc_id").alias("gap_id"), utility(F.lit("FACT"), (F.col("doc_id") % 256).cast("int"), F.lit(1), 1000).alias("utility"))
+    shards = [Shard(0, 9000, 15), Shard(1, 6000, 1), Shard(2, 3000, 2), Shard(3, 500, 12)]
+    return federated_utility(gaps, shards, "FACT", 1000, 3).withColumn("utility", F.round("utility", 6))
+
+
+# --- registries, evidence, provenance
+
+
+@query("select l_orderkey, l_linenumber, count(*) as n from lineitem where l_returnflag = 'R' and l_suppkey in (1, 2, 3) group by all")
+def find_evidence(m):
+    e = m.table("lineitem").select("l_orderkey", "l_linenumber", F.col("l_returnflag").alias("kind"), F.col("l_suppkey").alias("source"))
+    return registry.find_by(e, kind="R", source=[1, 2, 3]).groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n"))
+
+
+@query("select atom_id, 'trust' as kind, trust::bigint as value from atoms union all select atom_id, 'valid_to', valid_to from atoms where valid_to is not null", "atoms")
+def find_metadata(m):
+    return registry.find_by(registry.metadata_fields(m.atoms(), "atom_id", "trust", "domain_mask", "valid_to"), kind=["trust", "valid_to"])
+
+
+@query("select source_id, count(*) as n_atoms, min(trust)::int as least_trust from atoms group by source_id", "atoms")
+def list_sources(m):
+    return m.atoms().groupBy("source_id").agg(F.count("*").alias("n_atoms"), F.min("trust").alias("least_trust"))
+
+
+_ENTITIES = """(select 3000000000 + c_custkey as entity_id, c_name as canonical_name, 'customer' as entity_type, c_mktsegment as alias from customer
+    union all select 5000000000 + p_partkey, p_name, 'part', p_brand from part union all select 4000000000 + s_suppkey, s_name, 'supplier', null from supplier)"""
+
+
+def _entities(m):
+    one = lambda t, kind, base: m.table(t[0]).select((F.lit(base * BILLION) + F.col(t[1])).alias("entity_id"), F.col(t[2]).alias("canonical_name"), F.lit(kind).alias("entity_type"), (F.col(t[3]) if t[3] else F.lit(None).cast("string")).alias("alias"))
+    e = one(("customer", "c_custkey", "c_name", "c_mktsegment"), "customer", 3).unionByName(one(("part", "p_partkey", "p_name", "p_brand"), "part", 5)).unionByName(one(("supplier", "s_suppkey", "s_name", None), "supplier", 4))
+    return e.drop("alias").withColumn("aliases", F.array().cast("array<string>")), e.where("alias is not null").select("entity_id", "alias")
+
+
+@query(f"select entity_id, canonical_name, entity_type, coalesce(alias, '') as aliases from {_ENTITIES}")
+def alias_entities(m):
+    e, aliases = _entities(m)
+    return registry.add_aliases(e, aliases.unionByName(aliases)).withColumn("aliases", F.array_join("aliases", ","))
+
+
+@query(f"select 6000000000 + entity_id as entity_id, canonical_name || ' (2)' as canonical_name, entity_type, entity_id as split_from from {_ENTITIES} where entity_type = 'part'")
+def split_entities(m):
+    e = _entities(m)[0]
+    s = e.where("entity_type = 'part'").select(F.col("entity_id").alias("source_id"), (F.lit(6 * BILLION) + F.col("entity_id")).alias("entity_id"), F.concat("canonical_name", F.lit(" (2)")).alias("canonical_name"), "entity_type")
+    return registry.split_entities(e, s).drop("aliases")
+
+
+@query(f"select entity_id, canonical_name from {_ENTITIES} where lower(canonical_name) = 'customer#000000007' or lower(alias) = 'customer#000000007' or entity_type = 'CUSTOMER#000000007'")
+def resolve_entity(m):
+    return registry.resolve(_entities(m)[0], "CUSTOMER#000000007", "canonical_name", "entity_type").select("entity_id", "canonical_name")
+
+
+@query("select pred as predicate_id, count(*) as n_claims, count(distinct subj) as n_subjects from claims group by pred", "claims")
+def list_predicates(m):
+    return m.claims().groupBy(F.col("pred").alias("predicate_id")).agg(F.count("*").alias("n_claims"), F.count_distinct("subj").alias("n_subjects"))
+
+
+@query("""with d as (select src, dst from edges where edge_type = 'DERIVED_FROM'),
+    p1 as (select src as node, dst as origin, 1 as depth from d where src >= 6000000000), p2 as (select p1.node, d.dst as origin, 2 as depth from p1 join d on d.src = p1.origin), p3 as (select p2.node, d.dst as origin, 3 as depth from p2 join d on d.src = p2.origin)
+    select node, origin, min(depth)::int as depth from (select * from p1 union all select * from p2 union all select * from p3) group by all""", "edges")
+def provenance_path(m):
+    start = m.table("orders").select((F.lit(6 * BILLION) + F.col("o_orderkey")).alias("node"))
+    return registry.provenance(m.current_edges(), start)
+
+
+@query("select distinct l_orderkey as subject, l_partkey as object from lineitem l where not exists (select 1 from lineitem r where r.l_returnflag = 'R' and r.l_orderkey = l.l_orderkey and r.l_partkey = l.l_partkey)")
+def assert_relations(m):
+    r = m.table("lineitem").select(F.col("l_orderkey").alias("subject"), F.col("l_partkey").alias("object"), "l_returnflag")
+    return lifecycle.append_new(r.where("l_returnflag = 'R'"), r.drop("l_returnflag"), ["subject", "object"])
+
+
+@query("select doc_id, sha256('{\"doc_id\":' || doc_id || ',\"lang\":\"' || lang || '\",\"source\":\"' || source || '\"}') as atom_id from documents")
+def content_ids(m):
+    return m.table("documents").select("doc_id", lifecycle.content_id("source", "doc_id", "lang").alias("atom_id"))
+
+
+@query(r"select distinct 11000000000 + conv_id as node_num, term from (select conv_id, unnest(regexp_split_to_array(lower(text), '\s+')) as term from conversations) where term <> ''")
+def rebuild_index(m):
+    return R.index_text(m.table("conversations"), F.lit(11 * BILLION) + F.col("conv_id"))
+
+
+@query("select subj, pred, n_objects, case when n_objects = 2 then 'resolved' else 'open' end as status from (select subj, pred, count(distinct obj)::int as n_objects from active group by subj, pred) where n_objects > 1", "active")
+def conflict_policy(m):
+    s = inference.conflict_sets(m.active_claims())
+    return s.select("subj", "pred", "n_objects", registry.conflict_status(s, "prefer_trusted").alias("status"))
+
+
+@query("select l_orderkey, l_linenumber, count(*) as n from lineitem where l_orderkey % 4 <> 0 or l_orderkey % 3 in (0, 1) group by all")
+def context_scope(m):
+    c = m.table("lineitem").withColumn("branch", F.when(F.col("l_orderkey") % 4 == 0, F.col("l_orderkey") % 3))
+    return c.where(K.context_allowed(F.col("branch"), [0, 1])).groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n"))
+
+
+_THREE = "((" + ")::int + (".join(f"({_STATUS[k]}) = 'satisfied'" for k in ("trust", "type", "source")) + ")::int)"
+
+
+@query(f"select atom_id, {_THREE} = 3 as q_all, {_THREE} >= 1 as q_any, {_THREE} >= 2 as q_two, {_THREE} = 1 as q_one from atoms", "atoms")
+def quantified_conditions(m):
+    r, ids = K.evaluate_all(m.atoms(), CONSTRAINTS), ["trust", "type", "source"]
+    q = lambda kind, n=0: K.quantified(F.col("results"), ids, kind, n)
+    return r.select("atom_id", q("all").alias("q_all"), q("any").alias("q_any"), q("at_least", 2).alias("q_two"), q("exactly", 1).alias("q_one"))
+
+
+@query("""with u as (select vec_id, embedding::double[] as e, sqrt(list_sum(list_transform(embedding::double[], lambda x: x * x))) as n from embeddings)
+    select vec_id, round(list_sum(list_transform(e, lambda x: x / n)), 5)::double as total, round(list_max(list_transform(e, lambda x: x / n)), 5)::double as greatest from u""")
+def normalize_vectors(m):
+    u = S.normalize(F.col("embedding"))
+    return m.table("embeddings").select("vec_id", u.alias("u")).select("vec_id", F.round(F.aggregate("u", F.lit(0.0), lambda a, x: a + x), 5).alias("total"), F.round(F.array_max("u").cast("double"), 5).alias("greatest"))
+
+
+@query("select l_orderkey, round(case when count(distinct l_partkey % 50) filter (l_partkey % 50 >= 5) = 0 then 0 else 100.0 * count(distinct l_partkey % 50) filter (l_partkey % 50 >= 5) / sum(l_quantity) end, 6)::double as ratio from lineitem group by l_orderkey")
+def marginal_ratio(m):
+    g = m.table("lineitem").groupBy("l_orderkey").agg(F.collect_set((F.col("l_partkey") % 50).cast("int")).alias("gaps"), F.sum("l_quantity").alias("cost"))
+    return g.select("l_orderkey", F.round(C.marginal_ratio(F.col("gaps"), F.array(*map(F.lit, range(5))), F.col("cost")), 6).alias("ratio"))
+
+
+@query("select source_id, round(count(distinct domain_mask) / sum(io_bytes), 9)::double as efficiency from atoms group by source_id", "atoms")
+def cost_efficiency(m):
+    g = m.atoms().groupBy("source_id").agg(F.count_distinct("domain_mask").alias("covered"), F.sum("io_bytes").alias("cost"))
+    return g.select("source_id", F.round(C.efficiency(F.col("covered"), F.col("cost")), 9).alias("efficiency"))
+
+
+@query()
+def search_semantic_ann(m):
+    """The same queries as search_semantic_topk, over an index in the shared folder."""
+    import uuid
+
+    from .operators import ann
+    from .sources.shared import shared_dir
+
+    path = f"{shared_dir(m.spark)}/ann-{uuid.uuid4().hex}"
+    centroids = ann.build(m.embeddings(), path)
+    asked = [(r["query_id"], r["query"]) for r in _query_vectors(m).toLocalIterator()]
+    return ann.search(m.spark, path, centroids, asked)

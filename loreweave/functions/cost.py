@@ -84,3 +84,14 @@ def benefit_ratio(gain: Column, cost: Column) -> Column:
 def candidate_cost(edges: Column, io: Column, trust: Column, w: Weights = Weights()) -> Column:
     """The set cover's own: wN + wE edges + wIO bytes + wT (100 - trust / 100)."""
     return w.node + w.edge * edges + w.io * io + w.trust * (100 - trust / 100)
+
+
+def marginal_ratio(gaps: Column, covered: Column, cost: Column) -> Column:
+    """The ratio on gaps that aren't covered yet, 100 for each; 0 if there are none."""
+    new = F.size(F.array_except(gaps, covered))
+    return F.when(new == 0, F.lit(0.0)).otherwise(benefit_ratio(new * 100.0, cost))
+
+
+def efficiency(covered: Column, cost: Column) -> Column:
+    """Gaps covered for a unit of cost; 0 without cost."""
+    return F.when(cost > 0, covered / cost).otherwise(0.0)

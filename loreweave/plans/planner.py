@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 KINDS = ("DEFINITION", "FACT", "CAUSAL_CHAIN", "EVIDENCE", "COUNTEREXAMPLE", "CONSTRAINTS", "COMPARISON_AXIS", "PROCEDURE")
@@ -75,3 +75,11 @@ def plan_federated(gaps: list[dict], n_targets: int, trust_min: int, domain_mask
                 whole = 1.05 if domain_mask and s.domain_mask & domain_mask == domain_mask else 1.0
                 out.append(Action(a.gap_id, a.kind, a.utility * (0.5 + min(max(s.trust / 10000, 0), 1)) * whole, a.cost, s.shard_id))
     return _within(sorted(out, key=lambda a: (-a.utility, a.gap_id, a.shard_id)), max_actions, max_io)
+
+
+def federated_utility(gaps: DataFrame, shards: list[Shard], kind: str, trust_min: int, domain_mask: int) -> DataFrame:
+    """(gap_id, shard_id, utility) of gaps (gap_id, utility) of one kind, for every shard that serves it. Shards are few: an array, no join."""
+    able = [s for s in shards if s.serves(kind, trust_min, domain_mask)]
+    factor = [(0.5 + min(max(s.trust / 10000, 0), 1)) * (1.05 if domain_mask and s.domain_mask & domain_mask == domain_mask else 1.0) for s in able]
+    each = F.explode(F.array(*[F.struct(F.lit(s.shard_id).alias("shard_id"), F.lit(f).alias("factor")) for s, f in zip(able, factor)])).alias("s")
+    return gaps.select("gap_id", "utility", each).select("gap_id", "s.shard_id", (F.col("utility") * F.col("s.factor")).alias("utility"))
