@@ -214,8 +214,8 @@ class Engine:
     def graph_neighbors(self, node_num: int, types: list[str] | None = None) -> DataFrame:
         return graph.neighbors(self.edges(), node_num, types).orderBy("edge_type", "node")
 
-    def graph_walk(self, seed_nodes: list[int], depth: int = 2, types: list[str] | None = None) -> DataFrame:
-        return graph.walk_edges(self.edges(), self.spark.createDataFrame([(n,) for n in seed_nodes], "node bigint"), depth, types)
+    def graph_walk(self, seeds: list[int], types: list[str] | None = None, depth: int = 2) -> DataFrame:
+        return graph.walk_edges(self.edges(), self.spark.createDataFrame([(n,) for n in seeds], "node bigint"), depth, types)
 
     def extract_subgraph(self, center_node: int, depth: int = 2) -> DataFrame:
         return graph.subgraph_nodes(self.edges(), center_node, depth).orderBy("node")

@@ -212,7 +212,10 @@ def _make(cls: type, data: dict[str, Any]) -> Any:
     known = {f.name for f in fields(cls)}
     if set(data) - known:
         raise ContractError(f"unknown fields {sorted(set(data) - known)}")
-    return cls(**data)
+    try:
+        return cls(**data)
+    except TypeError as e:
+        raise ContractError(str(e)) from e
 
 
 def from_dict(data: dict[str, Any]) -> Contract:

@@ -82,7 +82,7 @@ def write_atoms(atoms: DataFrame, path: str, fmt: str) -> None:
 
 def problems() -> Column:
     """What is wrong with an atom to import; an empty list if nothing."""
-    hex_ = r"^[0-9a-fA-F]{64}$"
+    hex_ = r"^\p{XDigit}{64}$"
     return F.array_compact(F.array(
         F.when(F.col("id").isNotNull() & ~F.col("id").rlike(hex_), "id"),
         F.when(F.upper("atom_type").isin(*ATOM_TYPES), None).otherwise("atom_type"),
