@@ -40,7 +40,7 @@ def canonical(value) -> str:
             return {k: plain(x) for k, x in v.items()}
         return [plain(x) for x in v] if isinstance(v, list) else v
 
-    return json.dumps(plain(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    return json.dumps(plain(value), ensure_ascii=False, separators=(",", ":"), sort_keys=True)
 
 
 def check(name: str | None, arguments: str | None, schemas: dict) -> tuple[object, list[str]]:
