@@ -32,6 +32,10 @@ SCHEMAS = {
 _TYPES = {"string": lambda v: isinstance(v, str), "integer": lambda v: isinstance(v, int) and not isinstance(v, bool), "number": lambda v: isinstance(v, (int, float)) and not isinstance(v, bool), "boolean": lambda v: isinstance(v, bool), "object": lambda v: isinstance(v, dict), "array": lambda v: isinstance(v, list)}
 
 
+_COMPACT = (",", ":")
+_ENCODER = json.JSONEncoder(sort_keys=True, separators=_COMPACT, ensure_ascii=False)
+
+
 def canonical(value) -> str:
     def plain(v):
         if isinstance(v, float) and math.isfinite(v) and v == int(v):
@@ -40,7 +44,7 @@ def canonical(value) -> str:
             return {k: plain(x) for k, x in v.items()}
         return [plain(x) for x in v] if isinstance(v, list) else v
 
-    return json.dumps(plain(value), ensure_ascii=False, separators=(",", ":"), sort_keys=True)
+    return _ENCODER.encode(plain(value))
 
 
 def check(name: str | None, arguments: str | None, schemas: dict) -> tuple[object, list[str]]:
