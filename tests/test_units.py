@@ -225,7 +225,8 @@ def test_windows_drop_what_is_late(spark, tmp_path):
 
 # --- exchange
 
-ATOM = {"id": "ab" * 32, "atom_type": "FACT", "claims": [{"subject": 1, "predicate": 2, "object_tag": 3, "object_value": 4, "qualifiers": 0}], "evidence": [{"atom_id": "cd" * 32, "section_kind": "CLAIMS", "offset": 0, "length": 4, "trust": 9}], "metadata": {"created_at": 1, "trust_level": 2, "domain_mask": 3, "source_id": 4}, "payload": "aGk="}
+CLAIM = dict(zip(("subject", "predicate", "object_tag", "object_value", "qualifiers"), (1, 2, 3, 4, 0)))
+ATOM = {"id": "ab" * 32, "atom_type": "FACT", "claims": [CLAIM], "evidence": [{"atom_id": "cd" * 32, "section_kind": "CLAIMS", "offset": 0, "length": 4, "trust": 9}], "metadata": {"created_at": 1, "trust_level": 2, "domain_mask": 3, "source_id": 4}, "payload": "aGk="}
 
 
 @pytest.mark.parametrize("fmt", ["json", "ndjson", "yaml", "csv"])
