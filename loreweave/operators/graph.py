@@ -6,11 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..sources.shared import cut
+from ..sources.shared import cut, once
 
 FANOUT = 128
-#: Walks deeper than this cut their lineage each level.
-CUT_DEPTH = 3
 
 
 def latest_edges(base: DataFrame, delta: DataFrame) -> DataFrame:
@@ -64,6 +62,7 @@ def walk(edges: DataFrame, seeds: DataFrame, depth: int, types: list[str] | None
     keyed by node): nodes that fail it are reached but not expanded.
     """
     e = _typed(edges, types).select("src", "dst", "edge_type")
+    e = once(e) if depth > 1 else e
     seen = seeds.select("node").distinct().withColumn("depth", F.lit(0))
     frontier = seen
     for level in range(1, depth + 1):
@@ -74,13 +73,11 @@ def walk(edges: DataFrame, seeds: DataFrame, depth: int, types: list[str] | None
         if fanout is not None:
             step = step.withColumn("n", F.row_number().over(Window.partitionBy("src", "edge_type").orderBy("dst"))).where(F.col("n") <= fanout)
         frontier = step.select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti").withColumn("depth", F.lit(level))
-        if level >= CUT_DEPTH:
-            frontier = cut(frontier)
+        # a level is read by the next one and by all later anti-joins: computed once, it also ends the lineage
+        frontier = cut(frontier)
+        if frontier.isEmpty():
+            break
         seen = seen.unionByName(frontier)
-        if level > CUT_DEPTH:
-            if frontier.isEmpty():
-                break
-            seen = cut(seen)
     return seen
 
 
@@ -109,13 +106,13 @@ def path_exists(edges: DataFrame, pairs: DataFrame, depth: int, types: list[str]
     if depth <= 0:
         return p.withColumn("reachable", F.lit(False))
     e = _typed(edges, types).select(F.col("src").alias("at"), F.col("dst").alias("next")).distinct()
+    e = once(e) if depth > 1 else e
     frontier = p.withColumn("at", F.col("src"))
     done = p.where("src = dst")
     seen = frontier
     for level in range(1, depth + 1):
         frontier = frontier.where("at <> dst").join(e, "at").select("src", "dst", F.col("next").alias("at")).distinct().join(seen, ["src", "dst", "at"], "left_anti")
-        if level >= CUT_DEPTH:
-            frontier = cut(frontier)
+        frontier = cut(frontier)
         done = done.unionByName(frontier.where("at = dst").select("src", "dst"))
         seen = seen.unionByName(frontier)
     return p.join(done.distinct().withColumn("reachable", F.lit(True)), ["src", "dst"], "left").select("src", "dst", F.coalesce("reachable", F.lit(False)).alias("reachable"))

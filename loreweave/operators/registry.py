@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import once
+
 
 def latest(table: DataFrame, key: str, order: str = "at") -> DataFrame:
     """The last version of each row of an append-only table; one grouped aggregate."""
@@ -48,6 +50,7 @@ def resolve(table: DataFrame, name: str, *columns: str) -> DataFrame:
 def provenance(edges: DataFrame, start: DataFrame, depth: int = 4) -> DataFrame:
     """(node, origin, depth): what each node (node) derives from, step by step along DERIVED_FROM edges; least depth of each pair."""
     e = edges.where("edge_type = 'DERIVED_FROM'").select(F.col("src").alias("at"), F.col("dst").alias("next"))
+    e = once(e) if depth > 1 else e
     level = start.select("node", F.col("node").alias("at"))
     out = None
     for d in range(1, depth + 1):

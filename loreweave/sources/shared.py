@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,6 +21,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df``, computed and kept in the shared folder, without its lineage."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """``df``, computed once into a table in the shared folder, without its lineage. A checkpoint would compute it twice."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/lw-cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def once(df: DataFrame) -> DataFrame:
+    """``df`` for several readings: kept in the shared folder if its plan shuffles, as it is if it only scans."""
+    plan = df._jdf.queryExecution().sparkPlan().toString()
+    return cut(df) if any(x in plan for x in ("Aggregate", "Join", "Window", "Exchange")) else df
