@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import write_shared
+
 ID = r"(?:AKIA|ASIA)[0-9A-Z]{16}"
 SECRET = r"(?:password|passwd|secret|token|api_key)[ ]{0,3}[=:][ ]{0,3}\"?[0-9A-Za-z+/_\-]{8,}|[0-9a-f]{40}"
 ENDPOINT = r"https?://[^\s\"<>]+|[0-9]{1,3}(?:\.[0-9]{1,3}){3}"
@@ -27,7 +29,7 @@ SCOPE = 512
 
 def parts(docs: DataFrame) -> DataFrame:
     """(doc_id, doc_key, kind, start, stop, digest) of every part, from 0."""
-    found = docs.select("doc_id", "text").where(F.col("text").rlike(ANY)).distinct()
+    found = docs.select("doc_id", "text").where(F.col("text").rlike(ANY))
     both = found.select("doc_id", F.md5("text").alias("doc_key"), F.split("text", ANY, -1).alias("gaps"), F.regexp_extract_all("text", F.lit(ANY), 0).alias("hits"))
     each = both.select("doc_id", "doc_key", F.transform("gaps", lambda g: F.length(g)).alias("gaps"), "hits").select("doc_id", "doc_key", "gaps", "hits", F.posexplode("hits").alias("n", "hit"))
     # the gaps up to a part, and the parts before it
@@ -39,7 +41,7 @@ def parts(docs: DataFrame) -> DataFrame:
 
 def link(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     """(doc_id, kind, start, stop, digest, n_ids, n_secrets, n_endpoints, strength): what is near each reported part, by kind."""
-    p = parts(docs).distinct()
+    p = write_shared(parts(docs).distinct(), "parts")  # both sides of the join, from one scan of the texts
     bins = lambda lo, hi: F.explode(F.sequence((lo / scope).cast("bigint"), (hi / scope).cast("bigint")))
     reach = p.withColumn("bin", bins(F.greatest(F.col("start") - scope, F.lit(0)), F.col("stop") + scope))
     other = p.select("doc_id", "doc_key", F.col("kind").alias("o_kind"), F.col("start").alias("o_start"), F.col("stop").alias("o_stop"), (F.col("start") / scope).cast("bigint").alias("bin"))
