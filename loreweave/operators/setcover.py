@@ -6,6 +6,7 @@ run side by side, grouped by query.
 
 from __future__ import annotations
 
+import heapq
 from collections import defaultdict
 from dataclasses import dataclass, field
 
@@ -41,24 +42,28 @@ class Cover:
 
 def solve(gaps: dict[int, int], candidates: list[Candidate], w: Weights = Weights(), max_cost: float | None = None, inverse_trust: bool = True) -> Cover:
     """Greedy cover of ``gaps`` (id -> priority): best gain for cost first, ties to the least atom id. A candidate beyond the budget is passed over."""
-    out, left = Cover(), set(range(len(candidates)))
+    out = Cover()
     costs = [c.cost(w, inverse_trust) for c in candidates]
-    while left and not gaps.keys() <= out.covered:
-        best = None
-        for i in left:
-            gain = sum(gaps.get(g, 0) for g in candidates[i].covers - out.covered)
-            if gain <= 0 or (max_cost is not None and out.cost + costs[i] > max_cost):
-                continue
-            key = (-(gain / costs[i] if costs[i] > 0 else float("inf")), candidates[i].atom_id)
-            if best is None or key < best[0]:
-                best = (key, i)
-        if best is None:
-            break
-        i = best[1]
+
+    def key(i: int) -> tuple[float, str, int] | None:
+        gain = sum(gaps.get(g, 0) for g in candidates[i].covers - out.covered)
+        if gain <= 0 or (max_cost is not None and out.cost + costs[i] > max_cost):
+            return None  # for good: gains only fall, and the cost only grows
+        return -(gain / costs[i] if costs[i] > 0 else float("inf")), candidates[i].atom_id, i
+
+    heap = [k for i in range(len(candidates)) if (k := key(i)) is not None]
+    heapq.heapify(heap)
+    while heap and not gaps.keys() <= out.covered:
+        i = heapq.heappop(heap)[2]
+        now = key(i)
+        if now is None:
+            continue
+        if heap and now > heap[0]:
+            heapq.heappush(heap, now)
+            continue
         out.selected.append(i)
         out.covered |= candidates[i].covers & gaps.keys()
         out.cost += costs[i]
-        left.discard(i)
     return out
 
 
@@ -104,7 +109,12 @@ def solve_many(candidates: DataFrame, w: Weights = Weights()) -> DataFrame:
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         gaps = dict(zip(pdf["gap"].tolist(), pdf["priority"].tolist()))
-        each = [Candidate(a, frozenset(g["gap"].tolist()), int(g["trust"].iloc[0]), int(g["io_bytes"].iloc[0])) for a, g in pdf.groupby("atom_id", sort=True)]
+        covers: dict[str, set[int]] = defaultdict(set)
+        about: dict[str, tuple[int, int]] = {}
+        for atom, gap, trust, size in zip(*(pdf[c].tolist() for c in ("atom_id", "gap", "trust", "io_bytes"))):
+            covers[atom].add(gap)
+            about.setdefault(atom, (trust, size))
+        each = [Candidate(a, frozenset(covers[a]), *about[a]) for a in sorted(covers)]
         found = solve(gaps, each, w)
         return pd.DataFrame({"query_id": pdf["query_id"].iloc[0], "step": range(len(found.selected)), "atom_id": [each[i].atom_id for i in found.selected]})
 
