@@ -232,11 +232,11 @@ def _query_vectors(m):
     return m.table("embeddings").where("vec_id in (0, 1, 2)").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
 
 
-def _topk(score: str, order: str) -> str:
+def _topk(score: str, order: str, asked: str = "where vec_id in (0, 1, 2)") -> str:
     return f"""select query_id, node_num, trust, score, rank from (
         select *, row_number() over (partition by query_id order by score {order}, node_num)::int as rank from (
             select q.vec_id as query_id, 8000000000 + v.vec_id as node_num, v.label * 1000 as trust, round({score}, 6) as score
-            from (select * from embeddings where vec_id in (0, 1, 2)) q, embeddings v)) where rank <= 10"""
+            from (select * from embeddings {asked}) q, embeddings v)) where rank <= 10"""
 
 
 _VQ = "v.embedding::double[], q.embedding::double[]"
@@ -262,6 +262,29 @@ def semantic_capped_trust(m):
     return R.semantic_candidates(m.embeddings(), _query_vectors(m), trust_min=1000).select("query_id", "node_num", "trust")
 
 
+# the same with every row as a query
+
+
+@query(_topk(f"list_cosine_similarity({_VQ})", "desc", ""))
+def search_semantic_topk_all(m):
+    return R.semantic_top_all(m.embeddings())
+
+
+@query(_topk(f"list_distance({_VQ})", "asc", ""))
+def l2_topk_all(m):
+    return R.semantic_top_all(m.embeddings(), by="l2")
+
+
+@query(_topk(f"list_dot_product({_VQ})", "desc", ""))
+def dot_topk_all(m):
+    return R.semantic_top_all(m.embeddings(), by="dot")
+
+
+@query(f"select query_id, node_num, least(floor(score * 10000)::int, trust) as trust from ({_topk(f'list_cosine_similarity({_VQ})', 'desc', '')}) where least(floor(score * 10000)::int, trust) >= 1000")
+def semantic_capped_trust_all(m):
+    return R.capped(R.semantic_top_all(m.embeddings()), trust_min=1000).select("query_id", "node_num", "trust")
+
+
 @query("""select node_num, arg_min(backend, priority) as backend from (
     select node_num, 0 as priority, 'exact' as backend from (select node_num from atoms order by atom_id limit 256)
     union all select node_num, 1, 'lexical' from postings where term = 'the'

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -11,6 +13,9 @@ from ..functions.scalar import cosine_similarity, dot_product, l2_distance
 PRIORITY = {"exact": 0, "lexical": 1, "graph": 2, "semantic": 3}
 BROADCAST_LIMIT = 256
 TOP = 10
+#: Rows of a block of vectors, and how many queries of a block are scored at a time.
+BLOCK_ROWS, STEP = 4096, 256
+HITS = "query_id bigint, node_num bigint, trust int, score double"
 
 
 def exact(atoms: DataFrame, ids: list[str] | None = None, nodes: list[int] | None = None) -> DataFrame:
@@ -45,9 +50,90 @@ def semantic_top(vectors: DataFrame, queries: DataFrame, k: int = TOP, by: str =
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k)
 
 
+def _matrices(vectors: pa.ChunkedArray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Places and rows of the vectors of each length."""
+    by: dict[int, tuple[list[int], list]] = {}
+    for i, v in enumerate(vectors.to_numpy(zero_copy_only=False)):
+        at = by.setdefault(len(v), ([], []))
+        at[0].append(i)
+        at[1].append(v)
+    return {d: (np.array(i), np.array(v, np.float64).reshape(len(i), d)) for d, (i, v) in by.items()}
+
+
+def best_of_block(left: pa.Table, right: pa.Table, k: int, by: str) -> pa.Table:
+    """HITS: the k best rows (node_num, trust, embedding) of ``right`` for each query (query_id, query) of ``left``, scored as by semantic_top."""
+    qid, node, trust = left.column("query_id").to_numpy(), right.column("node_num").to_numpy(), right.column("trust").combine_chunks()
+    out: list[list[np.ndarray]] = [[], [], []]
+    x = _matrices(right.column("embedding"))
+    for d, (own, q) in _matrices(left.column("query")).items():
+        for i in range(0, len(own), STEP):
+            part = q[i : i + STEP]
+            s = np.zeros((len(part), right.num_rows))
+            if d in x and d:
+                at, y = x[d]
+                dot = part @ y.T
+                if by == "l2":
+                    dot = np.stack([np.sqrt(((y - p) ** 2).sum(1)) for p in part])
+                elif by == "cosine":
+                    a, b = np.linalg.norm(part, axis=1)[:, None], np.linalg.norm(y, axis=1)[None, :]
+                    dot = np.where((a < 1e-8) | (b < 1e-8), 0.0, dot / np.maximum(a * b, 1e-300))
+                s[:, at] = dot
+            s = np.round(s, 6)
+            key = s if by == "l2" else -s
+            m = min(k, key.shape[1])
+            row, col = np.nonzero(key <= np.partition(key, m - 1, axis=1)[:, m - 1 : m])
+            order = np.lexsort((node[col], key[row, col], row))
+            row, col = row[order], col[order]
+            on = np.arange(len(row)) - np.searchsorted(row, row) < k
+            for o, v in zip(out, (own[i + row[on]], col[on], s[row[on], col[on]])):
+                o.append(v)
+    r, c, s = (np.concatenate(o) if o else np.zeros(0, np.int64) for o in out)
+    r, c = r.astype(np.int64), c.astype(np.int64)
+    return pa.table({"query_id": pa.array(qid[r], pa.int64()), "node_num": pa.array(node[c], pa.int64()), "trust": trust.take(pa.array(c)).cast(pa.int32()), "score": pa.array(s, pa.float64())})
+
+
+def whole_vectors(vectors: DataFrame) -> DataFrame:
+    """Without null vectors and vectors with null elements."""
+    return vectors.where(F.col("embedding").isNotNull() & ~F.exists("embedding", lambda e: e.isNull()))
+
+
+def ranked(found: DataFrame, k: int, by: str) -> DataFrame:
+    """The k best of each query, with their rank."""
+    order = [F.asc("score") if by == "l2" else F.desc("score"), F.asc("node_num")]
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k)
+
+
+def semantic_top_all(vectors: DataFrame, queries: DataFrame | None = None, k: int = TOP, by: str = "cosine", block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """semantic_top for many queries: by default every row (by vec_id) is one. Blocks of rows meet pairwise, and each hands on k rows a query.
+
+    Null vectors and vectors with null elements are neither queries nor hits.
+    """
+    if queries is None:
+        queries = vectors.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    rows, asked = whole_vectors(vectors), whole_vectors(queries.withColumnRenamed("query", "embedding")).withColumnRenamed("embedding", "query")
+    n_o, n_q = (max(1, -(-x.count() // block_rows)) for x in (rows, asked))
+    block = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = asked.select(block("query_id", n_q).alias("qb"), every(n_o).alias("ob"), "query_id", "query").groupBy("qb", "ob")
+    right = rows.select(every(n_q).alias("qb"), block("node_num", n_o).alias("ob"), "node_num", "trust", "embedding").groupBy("qb", "ob")
+    return ranked(left.cogroup(right).applyInArrow(_block(k, by), HITS), k, by)
+
+
+def _block(k: int, by: str):
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return pa.table({"query_id": pa.array([], pa.int64()), "node_num": pa.array([], pa.int64()), "trust": pa.array([], pa.int32()), "score": pa.array([], pa.float64())})
+        return best_of_block(left, right, k, by)
+
+    return run
+
+
 def semantic_candidates(vectors: DataFrame, queries: DataFrame, k: int = TOP, trust_min: int = 0) -> DataFrame:
     """Trust is capped by the similarity, on the scale of 10000."""
-    top = semantic_top(vectors, queries, k)
+    return capped(semantic_top(vectors, queries, k), trust_min)
+
+
+def capped(top: DataFrame, trust_min: int = 0) -> DataFrame:
     return top.withColumn("trust", F.least(F.floor(F.col("score") * 10000).cast("int"), F.col("trust"))).where(F.col("trust") >= trust_min)
 
 
