@@ -949,7 +949,7 @@ def cost_efficiency(m):
 
 @query()
 def search_semantic_ann(m):
-    """The same queries as search_semantic_topk, over an index in the shared folder."""
+    """The queries of search_semantic_topk_all, every row, over an index in the shared folder."""
     import uuid
 
     from .operators import ann
@@ -957,5 +957,4 @@ def search_semantic_ann(m):
 
     path = f"{shared_dir(m.spark)}/ann-{uuid.uuid4().hex}"
     centroids = ann.build(m.embeddings(), path)
-    asked = [(r["query_id"], r["query"]) for r in _query_vectors(m).toLocalIterator()]
-    return ann.search(m.spark, path, centroids, asked)
+    return ann.search_all(m.spark, path, centroids, m.embeddings())

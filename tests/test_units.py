@@ -4,6 +4,7 @@ import itertools
 import json
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -187,6 +188,33 @@ def test_approximate_search_recall(spark):
     assert len(got & want) >= 0.9 * len(want)
 
 
+def test_every_row_is_a_query(spark, small):
+    """Approximate search with production parameters, against all cosines."""
+    from loreweave import catalog
+
+    e = spark.read.parquet(f"{small}/embeddings.parquet").orderBy("vec_id").collect()
+    x = np.array([r["embedding"] for r in e], float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    s = np.round(x @ x.T, 6)
+    want = {(e[i]["vec_id"], 8_000_000_000 + e[j]["vec_id"]) for i in range(len(e)) for j in np.lexsort((np.arange(len(e)), -s[i]))[:10]}
+    got = {(r["query_id"], r["node_num"]) for r in catalog.queries()["search_semantic_ann"](spark, small).collect()}
+    assert {q for q, _ in got} == {r["vec_id"] for r in e} and len(got & want) >= 0.9 * len(want)
+
+
+def test_audited_recall_with_production_parameters(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(1500, 64))
+    v = spark.createDataFrame([(i, i, r, 1) for i, r in enumerate(x.tolist())], "node_num bigint, vec_id bigint, embedding array<float>, trust int")
+    c = ann.build(v, f"file://{tmp_path}/ann")
+    exact = {(r["query_id"], r["node_num"]) for r in R.semantic_top_all(v, block_rows=400).collect()}
+    u = x.astype(np.float32).astype(float)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    s = np.round(u @ u.T, 6)
+    assert exact == {(i, int(j)) for i in range(1500) for j in np.lexsort((np.arange(1500), -s[i]))[:10]}
+    found = lambda **p: len({(r["query_id"], r["node_num"]) for r in ann.search_all(spark, f"file://{tmp_path}/ann", c, v, **p).collect()} & exact) / len(exact)
+    assert found(probes=ann.PROBES) < 0.9 <= found()
+
+
 # --- replicated states, streams
 
 
