@@ -23,6 +23,11 @@ def op2_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secretscan.link(_table(spark, sf_dir, "documents"))
 
 
+def op2_real_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By the patterns of real credentials; op2_secret_links has those of its SQL."""
+    return secretscan.link(_table(spark, sf_dir, "documents"), find=secretscan.real_parts)
+
+
 def op3_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.groups(_table(spark, sf_dir, "documents"))
 
@@ -75,7 +80,7 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_secret_links, op3_simhash_groups, op4_exact_topk, op5_warc_members, op6_tool_calls, op7_benchmark_matches, op8_shards, op9_url_list, op10_source_mix)}
+    return {f.__name__: f for f in (op1_toxicity, op2_secret_links, op2_real_secret_links, op3_simhash_groups, op4_exact_topk, op5_warc_members, op6_tool_calls, op7_benchmark_matches, op8_shards, op9_url_list, op10_source_mix)}
 
 
 _OP4 = """

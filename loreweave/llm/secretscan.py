@@ -15,7 +15,9 @@ Defined results
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import write_shared
@@ -26,22 +28,49 @@ ENDPOINT = r"https?://[^\s\"<>]+|[0-9]{1,3}(?:\.[0-9]{1,3}){3}"
 ANY = f"{ID}|{SECRET}|{ENDPOINT}"
 SCOPE = 512
 
+# The patterns of real credentials, in Java's syntax. Names count in any case and with what is before and behind
+# them, as in aws_secret_access_key; values are quoted either way or bare, of 8 characters or more.
+REAL_ID = r"(?<![0-9A-Za-z])(?:(?:AKIA|ASIA|AGPA|AIDA|AROA|AIPA|ANPA|ANVA|ABIA|ACCA)[0-9A-Z]{16}(?![0-9A-Za-z])|AC[0-9a-f]{32}(?![0-9A-Za-z])|pk_(?:live|test)_[0-9A-Za-z]{16,}|[0-9]{6,}-[0-9a-z]{32}\.apps\.googleusercontent\.com|[0-9a-z\-]{3,64}@[0-9a-z\-]{3,64}\.iam\.gserviceaccount\.com)"
+_NAME = r"(?i:passw(?:or)?d|passphrase|pwd|secret|token|(?:api|access|private|account|auth|encryption|signing)[_\-.]?key|credential)(?:[0-9A-Za-z_.\-]{0,40})(?<!(?i:key)[_\-.]{0,1}(?i:id))"
+_VALUE = r"(?:\\?\"[^\"\s\\]{8,}|\\?'[^'\s\\]{8,}|[^\s\"'<>&;,\\]{8,})"
+_NAMED = rf"{_NAME}(?:\\?[\"'])?[ \t]{{0,3}}(?:=>|:=|==|[=:])[ \t]{{0,3}}(?!\\?[\"']?(?:{REAL_ID})){_VALUE}"
+_BARE = r"(?<![0-9A-Za-z+/=])(?:[0-9a-fA-F]{40}|[0-9a-fA-F]{64}|(?=[A-Za-z+/]{0,39}[0-9])(?=[0-9A-Z+/]{0,39}[a-z])(?=[0-9a-z+/]{0,39}[A-Z])[0-9A-Za-z+/]{40})(?![0-9A-Za-z+/=])"
+_MARKED = r"(?<![0-9A-Za-z])(?:(?:sk|rk)[_\-](?:live_|test_|proj-|ant-)?[0-9A-Za-z_\-]{16,}|gh[pousr]_[0-9A-Za-z]{36,}|github_pat_[0-9A-Za-z_]{22,}|glpat-[0-9A-Za-z_\-]{20,}|xox[abeoprs]-[0-9A-Za-z\-]{10,}|AIza[0-9A-Za-z_\-]{35}|eyJ[0-9A-Za-z_\-]{8,}\.[0-9A-Za-z_\-]{8,}\.[0-9A-Za-z_\-]{8,}|(?i:bearer)[ ]{1,3}[0-9A-Za-z+/_\-.=~]{16,})|-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----|(?<=://)[^\s/:@\"'<>]{0,128}:[^\s/@\"'<>]{1,256}@"
+REAL_SECRET = f"{_NAMED}|{_MARKED}|{_BARE}"
+REAL_ENDPOINT = r"(?i:https?|wss?|s?ftps?|ssh|postgres(?:ql)?|mysql|mongodb(?:\+srv)?|rediss?|amqps?|s3|gs)://[^\s\"'<>\\]+|(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9])"
+REAL = f"(?:{REAL_ID})|{REAL_SECRET}|{REAL_ENDPOINT}"
 
-def parts(docs: DataFrame) -> DataFrame:
-    """(doc_id, doc_key, kind, start, stop, digest) of every part, from 0."""
-    found = docs.select("doc_id", "text").where(F.col("text").rlike(ANY))
-    both = found.select("doc_id", F.md5("text").alias("doc_key"), F.split("text", ANY, -1).alias("gaps"), F.regexp_extract_all("text", F.lit(ANY), 0).alias("hits"))
+
+def _intervals(docs: DataFrame, pattern: str) -> DataFrame:
+    """(doc_id, doc_key, hit, start) of every match, from 0."""
+    found = docs.select("doc_id", "text").where(F.col("text").rlike(pattern))
+    both = found.select("doc_id", F.md5("text").alias("doc_key"), F.split("text", pattern, -1).alias("gaps"), F.regexp_extract_all("text", F.lit(pattern), 0).alias("hits"))
     each = both.select("doc_id", "doc_key", F.transform("gaps", lambda g: F.length(g)).alias("gaps"), "hits").select("doc_id", "doc_key", "gaps", "hits", F.posexplode("hits").alias("n", "hit"))
     # the gaps up to a part, and the parts before it
     add = lambda a, x: a + x
     start = F.aggregate(F.slice("gaps", 1, F.col("n") + 1), F.lit(0), add) + F.aggregate(F.transform(F.slice("hits", 1, F.col("n")), lambda h: F.length(h)), F.lit(0), add)
+    return each.select("doc_id", "doc_key", "hit", start.alias("start"))
+
+
+def _as_parts(found: DataFrame, kind: Column) -> DataFrame:
+    return found.select("doc_id", "doc_key", kind.alias("kind"), "start", (F.col("start") + F.length("hit")).alias("stop"), F.md5("hit").alias("digest"))
+
+
+def parts(docs: DataFrame) -> DataFrame:
+    """(doc_id, doc_key, kind, start, stop, digest) of every part, from 0."""
     kind = F.when(F.col("hit").rlike(f"^(?:{ID})$"), "id").when(F.col("hit").rlike(f"^(?:{SECRET})$"), "secret").otherwise("endpoint")
-    return each.select("doc_id", "doc_key", kind.alias("kind"), start.alias("start"), (start + F.length("hit")).alias("stop"), F.md5("hit").alias("digest"))
+    return _as_parts(_intervals(docs, ANY), kind)
+
+
+def real_parts(docs: DataFrame) -> DataFrame:
+    """The same by the patterns of real credentials."""
+    is_url = F.col("hit").rlike(r"^[A-Za-z0-9+]+://|^[0-9]{1,3}(?:\.[0-9]{1,3}){3}$")
+    return _as_parts(_intervals(docs, REAL), F.when(F.col("hit").rlike(f"^(?:{REAL_ID})$"), "id").when(is_url, "endpoint").otherwise("secret"))
 
 
-def link(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
+def link(docs: DataFrame, scope: int = SCOPE, find: Callable[[DataFrame], DataFrame] = parts) -> DataFrame:
     """(doc_id, kind, start, stop, digest, n_ids, n_secrets, n_endpoints, strength): what is near each reported part, by kind."""
-    p = write_shared(parts(docs).distinct(), "parts")  # both sides of the join, from one scan of the texts
+    p = write_shared(find(docs).distinct(), "parts")  # both sides of the join, from one scan of the texts
     bins = lambda lo, hi: F.explode(F.sequence((lo / scope).cast("bigint"), (hi / scope).cast("bigint")))
     reach = p.withColumn("bin", bins(F.greatest(F.col("start") - scope, F.lit(0)), F.col("stop") + scope))
     other = p.select("doc_id", "doc_key", F.col("kind").alias("o_kind"), F.col("start").alias("o_start"), F.col("stop").alias("o_stop"), (F.col("start") / scope).cast("bigint").alias("bin"))
