@@ -9,7 +9,8 @@ Defined results
 * Null and empty texts: no parts. A null doc_id is a document of its own kind: its parts are linked
   only within the same text. Rows that repeat a doc_id with the same text count once, with another
   text apart.
-* Parts don't overlap: of several patterns, the first from the left holds. Very long texts: read whole.
+* By the patterns of the SQL parts don't overlap: of several, the first from the left holds. By those of
+  real credentials only parts of one kind don't. Very long texts: read whole.
 * Empty tables: no rows. Extra columns are ignored.
 """
 
@@ -38,7 +39,6 @@ _BARE = r"(?<![0-9A-Za-z+/=])(?:[0-9a-fA-F]{40}|[0-9a-fA-F]{64}|(?=[A-Za-z+/]{0,
 _MARKED = r"(?<![0-9A-Za-z])(?:(?:sk|rk)[_\-](?:live_|test_|proj-|ant-)?[0-9A-Za-z_\-]{16,}|gh[pousr]_[0-9A-Za-z]{36,}|github_pat_[0-9A-Za-z_]{22,}|glpat-[0-9A-Za-z_\-]{20,}|xox[abeoprs]-[0-9A-Za-z\-]{10,}|AIza[0-9A-Za-z_\-]{35}|eyJ[0-9A-Za-z_\-]{8,}\.[0-9A-Za-z_\-]{8,}\.[0-9A-Za-z_\-]{8,}|(?i:bearer)[ ]{1,3}[0-9A-Za-z+/_\-.=~]{16,})|-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----|(?<=://)[^\s/:@\"'<>]{0,128}:[^\s/@\"'<>]{1,256}@"
 REAL_SECRET = f"{_NAMED}|{_MARKED}|{_BARE}"
 REAL_ENDPOINT = r"(?i:https?|wss?|s?ftps?|ssh|postgres(?:ql)?|mysql|mongodb(?:\+srv)?|rediss?|amqps?|s3|gs)://[^\s\"'<>\\]+|(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9])"
-REAL = f"(?:{REAL_ID})|{REAL_SECRET}|{REAL_ENDPOINT}"
 
 
 def _intervals(docs: DataFrame, pattern: str) -> DataFrame:
@@ -63,9 +63,12 @@ def parts(docs: DataFrame) -> DataFrame:
 
 
 def real_parts(docs: DataFrame) -> DataFrame:
-    """The same by the patterns of real credentials."""
-    is_url = F.col("hit").rlike(r"^[A-Za-z0-9+]+://|^[0-9]{1,3}(?:\.[0-9]{1,3}){3}$")
-    return _as_parts(_intervals(docs, REAL), F.when(F.col("hit").rlike(f"^(?:{REAL_ID})$"), "id").when(is_url, "endpoint").otherwise("secret"))
+    """The same by the patterns of real credentials, each kind by a pass of its own: parts of different kinds may overlap, as a token in a URL does."""
+    out = None
+    for kind, pattern in (("id", REAL_ID), ("secret", REAL_SECRET), ("endpoint", REAL_ENDPOINT)):
+        one = _as_parts(_intervals(docs, pattern), F.lit(kind))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def link(docs: DataFrame, scope: int = SCOPE, find: Callable[[DataFrame], DataFrame] = parts) -> DataFrame:
