@@ -2,13 +2,13 @@
 
 A file that is one gzip stream can't be read from the middle. It is inflated once, as a stream, in one
 task; each record is rewritten as a gzip member of its own, and a sidecar index gives every member's
-offset. Memory is bounded by one compressed record and some buffers, whatever the file's size.
+offset. Memory is bounded by one compressed record, one header and some buffers, whatever the file's size.
 
 Files are written under a task's own name and then renamed, so a repeated task does no harm.
 
 Defined results
 * Null html: an empty payload; null url: no Target-URI; null page_id: none in the index.
-* Empty payloads and very long ones: records like any other. Repeated rows: a record each.
+* Empty payloads and very long ones, and urls of any length: records like any other. Repeated rows: a record each.
 * A file without records (or an empty table): an empty output and no index rows.
 * A stream that breaks off, or whose record has no valid header: records before are kept, what follows
   is left out, and an index row with status "truncated" or "malformed" says so.
@@ -31,7 +31,6 @@ from .shared import bound_batches, new_path, write_shared
 
 CHUNK = 1 << 18
 LEVEL = 6
-MOST_HEADER = 1 << 16
 INDEX = "file string, record bigint, page_id bigint, uri string, offset bigint, length bigint, raw_length bigint, payload_sha1 string, status string"
 
 
@@ -103,11 +102,12 @@ class _Reader:
         self.have += chunk
         return True
 
-    def until(self, mark: bytes, most: int) -> bytes | None:
+    def until(self, mark: bytes) -> bytes | None:
+        """What is read up to the end of ``mark``, of any length; None if the stream ends before."""
         at = 0
         while (found := self.have.find(mark, at)) < 0:
             at = max(0, len(self.have) - len(mark) + 1)
-            if len(self.have) > most or not self.more():
+            if not self.more():
                 return None
         out = bytes(self.have[: found + len(mark)])
         del self.have[: found + len(mark)]
@@ -135,12 +135,14 @@ def split_members(source, write, level: int = LEVEL) -> Iterator[dict]:
                     del reader.have[:2]
             if not reader.have:
                 return
-            head = reader.until(b"\r\n\r\n", MOST_HEADER)
+            while len(reader.have) < 5 and reader.more():
+                pass
+            head = reader.until(b"\r\n\r\n") if reader.have.startswith(b"WARC/") else None
             fields = {}
             for line in (head or b"").split(b"\r\n")[1:]:
                 k, _, v = line.partition(b":")
                 fields[k.strip().lower()] = v.strip()
-            if head is None or not head.startswith(b"WARC/") or not fields.get(b"content-length", b"").isdigit():
+            if head is None or not fields.get(b"content-length", b"").isdigit():
                 yield row | {"status": "malformed"}
                 return
             gz, sha, size, held = zlib.compressobj(level, zlib.DEFLATED, 31), hashlib.sha1(), 0, []

@@ -137,6 +137,13 @@ def test_warc(spark):
     assert warc.normalise_pages(spark, p.where("false")).count() == 0
 
 
+def test_warc_with_very_long_urls(spark):
+    long = [(1, "data:text/html," + "ab" * 2_000_000, "<p>"), (2, "http://a/", "<p>"), (3, "data:," + "x" * 300_000, None), (4, "http://b/", "")]
+    p = spark.createDataFrame(long, "page_id bigint, url string, html string").coalesce(1)
+    got = sorted((r["page_id"], r["uri"], r["status"]) for r in warc.normalise_pages(spark, p).collect())
+    assert got == [(i, u, "ok") for i, u, _ in long]
+
+
 def test_tool_calls(spark):
     calls = spark.createDataFrame([(1, "c", 2, "lookup", '{"key":"k"}', ["a"], 0), (1, "a", 1, "lookup", None, None, 0), (1, "a", 1, "lookup", '{"key":"k"}', None, 0), (1, None, 1, "lookup", "{}", None, 0), (None, "z", 1, "lookup", "{}", None, 0), (1, "b", None, None, "no json", ["b"], 0)], "conv_id bigint, call_id string, turn bigint, name string, arguments string, depends_on array<string>, json int")
     results = spark.createDataFrame([(1, "a", 3, None), (1, "lost", 4, "x"), (2, "only", 1, ""), (1, "c", 5, "late"), (1, "c", 4, "soon")], "conv_id bigint, call_id string, turn bigint, content string")
