@@ -11,6 +11,7 @@ Defined results
   of rows equal in these, any.
 * Repeated rows are documents of their own, each with its tokens.
 * A source's tokens are its budget exactly, or the most below it that its lengths can make.
+* A source short of its share gives all; the others share what it lacks, so a small source shrinks none.
 * Sources without a weight get none (weights given). Empty tables: empty results.
 * Extra columns pass through, whatever their names.
 """
@@ -27,6 +28,8 @@ from .shared import fresh, write_shared
 
 #: What the dynamic programme has to fit, beside the longest document.
 REST = 1 << 16
+#: The default budget, as a share of the tokens of all weighted sources.
+KEEP = 0.8
 #: So many (source, length) cut-offs are broadcast; more are joined by a shuffle.
 BROADCAST_CUTS = 2_000_000
 NULL_SOURCE = "\x00null"
@@ -94,17 +97,37 @@ def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int, seed: int)
 
 
 def target_budgets(totals: dict[str, int], weights: dict[str, float] | None = None, budget: int | None = None, temperature: float = 0.7) -> dict[str, int]:
-    """Tokens of each source. Default weights: token counts to the power of ``temperature``; default budget: the largest that no source falls short of."""
+    """Tokens of each source. Default weights: token counts to the power of ``temperature``; default budget: KEEP of all tokens of weighted sources.
+
+    A source that is short of its share gives all it has; what it lacks is shared among the others by weight.
+    """
     totals = {k: v for k, v in totals.items() if v > 0}
     if weights is None:
         weights = {k: v**temperature for k, v in totals.items()}
     weights = {k: w for k, w in weights.items() if k in totals and w > 0}
-    whole = sum(weights.values())
-    if not whole:
+    if not weights:
         return {}
-    if budget is None:
-        budget = int(min(totals[k] * whole / w for k, w in weights.items()))
-    return {k: min(totals[k], int(budget * w / whole)) for k, w in weights.items()}
+    left = int(KEEP * sum(totals[k] for k in weights)) if budget is None else budget
+    out: dict[str, int] = {}
+    rest = dict(weights)
+    while rest:
+        whole = sum(rest.values())
+        short = [k for k, w in rest.items() if totals[k] <= left * w / whole]
+        if not short:
+            return out | {k: int(left * w / whole) for k, w in rest.items()}
+        for k in short:
+            out[k] = totals[k]
+            left -= totals[k]
+            del rest[k]
+    return out
+
+
+def kept_shares(docs: DataFrame, mixed: DataFrame) -> DataFrame:
+    """(source, tokens, kept, share) of every source that has tokens."""
+    sums = lambda d, name: d.groupBy("source").agg(F.sum(n_tokens(F.col("text")).cast("bigint")).alias(name))
+    a, b = sums(docs, "tokens"), sums(mixed, "kept").withColumnRenamed("source", "of")
+    kept = F.coalesce("kept", F.lit(0))
+    return a.join(b, a["source"].eqNullSafe(b["of"]), "left").where("tokens > 0").select("source", "tokens", kept.alias("kept"), (kept / F.col("tokens")).alias("share"))
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, budget: int | None = None, temperature: float = 0.7, seed: int = 5) -> DataFrame:

@@ -421,6 +421,17 @@ def test_mix_meets_its_budgets(spark):
     assert {r["source"] for r in mixing.mix(df, {"x": 1.0}).collect()} == {"x"}
 
 
+def test_a_small_source_shrinks_no_other(spark):
+    totals = {"hot": 10**9, "mid": 10**6, "stray": 10}
+    got = mixing.target_budgets(totals)
+    assert got["stray"] == 10 and got["mid"] == 10**6 and got["hot"] >= 0.79 * 10**9
+    assert sum(got.values()) <= mixing.KEEP * sum(totals.values()) <= sum(got.values()) + len(got)
+    assert mixing.target_budgets({"x": 10, "y": 100, "z": 100}, {"x": 1, "y": 1, "z": 2}, 100) == {"x": 10, "y": 30, "z": 60}
+    docs = spark.createDataFrame([(i, "a b c d e", "hot") for i in range(400)] + [(999, "one two", None)], "doc_id bigint, text string, source string")
+    share = {r["source"]: (r["tokens"], r["kept"]) for r in mixing.kept_shares(docs, mixing.mix(docs)).collect()}
+    assert share[None] == (2, 2) and share["hot"][0] == 2000 and share["hot"][1] >= 0.79 * 2000
+
+
 # --- all together
 
 
