@@ -7,9 +7,12 @@ Defined results
 * Order: a call comes after those it depends on; among those free to go, by (turn, call id). Unknown and
   null dependencies bind nothing. Calls on a cycle, and what depends on them, come last, in the same
   order, with "cyclic": true.
-* Null arguments count as {}; arguments that aren't a JSON object, unknown tools, missing, mistyped
-  and undeclared fields are listed as errors.
-* Canonical JSON: sorted keys, no blanks, UTF-8 unescaped, integral numbers without a fraction.
+* Null arguments count as {}. Listed as errors, with their path: arguments that aren't a JSON object, unknown tools,
+  and what the tool's JSON Schema (type, enum, const, properties, required, additionalProperties, items, bounds) refuses.
+* Arguments that can't be JSON values are kept as their text, with the error: no JSON (NaN and Infinity too), a number
+  beyond double range, more than MOST_DEPTH levels. Of an object's repeated names the last holds.
+* Canonical JSON: sorted keys, no blanks, UTF-8 unescaped but for lone surrogates, integral numbers without a fraction.
+* A conversation is one row of output, so one task holds it whole; calls and results are shuffled once, by conversation.
 * Empty tables: no rows. Extra columns are ignored. Very long texts are kept whole.
 """
 
@@ -18,22 +21,35 @@ from __future__ import annotations
 import heapq
 import json
 import math
+import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-SCHEMAS = {
-    "search": {"required": {"query": "string", "limit": "integer"}, "optional": {}},
-    "lookup": {"required": {"key": "string"}, "optional": {"strict": "boolean"}},
-    "write": {"required": {"text": "string", "words": "integer"}, "optional": {}},
-}
-_TYPES = {"string": lambda v: isinstance(v, str), "integer": lambda v: isinstance(v, int) and not isinstance(v, bool), "number": lambda v: isinstance(v, (int, float)) and not isinstance(v, bool), "boolean": lambda v: isinstance(v, bool), "object": lambda v: isinstance(v, dict), "array": lambda v: isinstance(v, list)}
+def _object(required: dict[str, str], optional: dict[str, str] | None = None) -> dict:
+    return {"type": "object", "properties": {k: {"type": t} for k, t in {**required, **(optional or {})}.items()}, "required": [*required], "additionalProperties": False}
 
 
-_COMPACT = (",", ":")
-_ENCODER = json.JSONEncoder(sort_keys=True, separators=_COMPACT, ensure_ascii=False)
+SCHEMAS = {
+    "search": _object({"query": "string", "limit": "integer"}),
+    "lookup": _object({"key": "string"}, {"strict": "boolean"}),
+    "write": _object({"text": "string", "words": "integer"}),
+}
+MOST_DEPTH = 128
+_NUMBER = lambda v: isinstance(v, (int, float)) and not isinstance(v, bool)
+_TYPES = {
+    "string": lambda v: isinstance(v, str),
+    "integer": lambda v: _NUMBER(v) and v == int(v),
+    "number": _NUMBER,
+    "boolean": lambda v: isinstance(v, bool),
+    "null": lambda v: v is None,
+    "object": lambda v: isinstance(v, dict),
+    "array": lambda v: isinstance(v, list),
+}
+_ENCODER = json.JSONEncoder(sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+_SURROGATE = re.compile("[\ud800-\udfff]")
 
 
 def canonical(value) -> str:
@@ -44,24 +60,81 @@ def canonical(value) -> str:
             return {k: plain(x) for k, x in v.items()}
         return [plain(x) for x in v] if isinstance(v, list) else v
 
-    return _ENCODER.encode(plain(value))
+    text = _ENCODER.encode(plain(value))
+    return text if text.isascii() else _SURROGATE.sub(lambda m: f"\\u{ord(m[0]):04x}", text)
+
+
+def _float(text: str) -> float:
+    v = float(text)
+    if not math.isfinite(v):
+        raise OverflowError(text)
+    return v
+
+
+def _no_constant(text: str):
+    raise ValueError(text)
+
+
+def _depth(value) -> int:
+    depth, level = 0, [value]
+    while level := [x for v in level if isinstance(v, (dict, list)) for x in (v.values() if isinstance(v, dict) else v)]:
+        depth += 1
+    return depth
+
+
+def faults(value, schema: dict, path: str = "") -> list[str]:
+    """What a JSON Schema refuses, each with its path."""
+    at = lambda k: f"{path}.{k}" if path else str(k)
+    here = path or "arguments"
+    types = schema.get("type", [])
+    types = [types] if isinstance(types, str) else types
+    if types and not any(_TYPES[t](value) for t in types):
+        return [f"{here} is not {' or '.join(types)}"]
+    out = []
+    if "enum" in schema and not any(value == x and type(value) is type(x) for x in schema["enum"]):
+        out.append(f"{here} is not in the enum")
+    if "const" in schema and (value != schema["const"] or type(value) is not type(schema["const"])):
+        out.append(f"{here} is not the constant")
+    if _NUMBER(value):
+        out += [f"{here} is below {schema['minimum']}"] if value < schema.get("minimum", -math.inf) else []
+        out += [f"{here} is above {schema['maximum']}"] if value > schema.get("maximum", math.inf) else []
+    if isinstance(value, (str, list)):
+        least, most = ("minLength", "maxLength") if isinstance(value, str) else ("minItems", "maxItems")
+        if not schema.get(least, 0) <= len(value) <= schema.get(most, math.inf):
+            out.append(f"{here} has a length of {len(value)}")
+    if isinstance(value, dict):
+        known, others = schema.get("properties", {}), schema.get("additionalProperties", True)
+        out += [f"missing {at(k)}" for k in schema.get("required", []) if k not in value]
+        for k, v in value.items():
+            if k in known:
+                out += faults(v, known[k], at(k))
+            elif others is False:
+                out.append(f"undeclared {at(k)}")
+            elif isinstance(others, dict):
+                out += faults(v, others, at(k))
+    if isinstance(value, list) and isinstance(schema.get("items"), dict):
+        for i, v in enumerate(value):
+            out += faults(v, schema["items"], f"{here}[{i}]")
+    return out
 
 
 def check(name: str | None, arguments: str | None, schemas: dict) -> tuple[object, list[str]]:
     """The parsed arguments and what is wrong with them, sorted."""
     try:
-        args = json.loads(arguments) if arguments is not None else {}
+        args = json.loads(arguments, parse_float=_float, parse_constant=_no_constant) if arguments is not None else {}
+    except OverflowError:
+        return arguments, ["number out of range"]
+    except RecursionError:
+        return arguments, ["nested too deeply"]
     except ValueError:
         return arguments, ["not JSON"]
+    if _depth(args) > MOST_DEPTH:
+        return arguments, ["nested too deeply"]
     if not isinstance(args, dict):
         return args, ["not an object"]
     if name not in schemas:
         return args, ["unknown tool"]
-    required, optional = schemas[name]["required"], schemas[name]["optional"]
-    wrong = [f"missing {k}" for k in required if k not in args]
-    wrong += [f"undeclared {k}" for k in args if k not in required and k not in optional]
-    wrong += [f"{k} is not {t}" for k, t in {**required, **optional}.items() if k in args and not _TYPES[t](args[k])]
-    return args, sorted(wrong)
+    return args, sorted(faults(args, schemas[name]))
 
 
 def order(calls: list[tuple[int, str, list[str]]]) -> tuple[list[int], int]:
@@ -111,26 +184,35 @@ def tool_events(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def link(calls: DataFrame, results: DataFrame, schemas: dict = SCHEMAS) -> DataFrame:
     """(conv_id, n_calls, n_linked, n_invalid, n_orphans, json) of each conversation."""
-    first = lambda df, *by: df.where("conv_id is not null and call_id is not null").withColumn("__lw_n", F.row_number().over(Window.partitionBy("conv_id", "call_id").orderBy(*[F.col(c).asc_nulls_last() for c in by]))).where("__lw_n = 1")
-    c = first(calls.select("conv_id", "call_id", "turn", "name", "arguments", "depends_on"), "turn", "arguments").select("conv_id", "call_id", F.struct(F.coalesce("turn", F.lit(0)).cast("bigint").alias("turn"), "name", "arguments", "depends_on").alias("call"))
-    r = first(results.select("conv_id", "call_id", "turn", "content"), "turn", "content").select("conv_id", "call_id", F.struct("content").alias("result"))
-    # hash join on the pair; its partitioning also serves the grouping where a conversation fits
-    both = c.hint("shuffle_hash").join(r, ["conv_id", "call_id"], "full")
-
-    def run(t: pa.Table) -> pa.Table:
-        rows = sorted(t.to_pylist(), key=lambda x: x["call_id"])
-        calls_ = [x for x in rows if x["call"] is not None]
-        at, done = order([(x["call"]["turn"], x["call_id"], x["call"]["depends_on"]) for x in calls_])
+    keyed = F.col("conv_id").isNotNull() & F.col("call_id").isNotNull()
+    c = calls.select("conv_id", "call_id", F.col("turn").cast("bigint").alias("turn"), "name", "arguments", "depends_on").where(keyed)
+    r = results.select("conv_id", "call_id", F.col("turn").cast("bigint").alias("turn"), "content").where(keyed)
+
+    def table(t: pa.Table, value: str) -> dict[str, dict]:
+        """The first row of each identifier."""
+        out: dict[str, dict] = {}
+        for x in sorted(t.to_pylist(), key=lambda x: (x["turn"] is None, x["turn"] or 0, x[value] is None, x[value] or "")):
+            out.setdefault(x["call_id"], x)
+        return out
+
+    def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        # a hash join by identifier
+        asked, told = table(left, "arguments"), table(right, "content")
+        calls_ = [asked[k] for k in sorted(asked)]
+        at, done = order([(x["turn"] or 0, x["call_id"], x["depends_on"]) for x in calls_])
         out, invalid, linked = [], 0, 0
         for n, i in enumerate(at):
             x = calls_[i]
-            args, wrong = check(x["call"]["name"], x["call"]["arguments"], schemas)
+            args, wrong = check(x["name"], x["arguments"], schemas)
+            result = told.get(x["call_id"])
             invalid += bool(wrong)
-            linked += x["result"] is not None
-            item = {"id": x["call_id"], "name": x["call"]["name"], "arguments": args, "errors": wrong, "result": x["result"]["content"] if x["result"] is not None else None}
+            linked += result is not None
+            item = {"id": x["call_id"], "name": x["name"], "arguments": args, "errors": wrong, "result": result["content"] if result is not None else None}
             out.append(item | ({"cyclic": True} if n >= done else {}))
-        orphans = [{"id": x["call_id"], "content": x["result"]["content"]} for x in rows if x["call"] is None]
-        conv = rows[0]["conv_id"]
-        return pa.table({"conv_id": pa.array([conv], pa.int64()), "n_calls": pa.array([len(calls_)], pa.int32()), "n_linked": pa.array([linked], pa.int32()), "n_invalid": pa.array([invalid], pa.int32()), "n_orphans": pa.array([len(orphans)], pa.int32()), "json": pa.array([canonical({"conversation": conv, "calls": out, "orphans": orphans})], pa.string())})
+        orphans = [{"id": k, "content": told[k]["content"]} for k in sorted(told) if k not in asked]
+        conv = key[0].as_py()
+        numbers = [pa.array([v], pa.int32()) for v in (len(calls_), linked, invalid, len(orphans))]
+        text = canonical({"conversation": conv, "calls": out, "orphans": orphans})
+        return pa.Table.from_arrays([pa.array([conv], pa.int64()), *numbers, pa.array([text], pa.large_string()).cast(pa.string())], ["conv_id", "n_calls", "n_linked", "n_invalid", "n_orphans", "json"])
 
-    return both.groupBy("conv_id").applyInArrow(run, "conv_id bigint, n_calls int, n_linked int, n_invalid int, n_orphans int, json string")
+    return c.groupBy("conv_id").cogroup(r.groupBy("conv_id")).applyInArrow(run, "conv_id bigint, n_calls int, n_linked int, n_invalid int, n_orphans int, json string")
