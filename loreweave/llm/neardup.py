@@ -1,11 +1,11 @@
 """SimHash near-duplicates by navigable small-world graphs.
 
-256-bit SimHashes of word pairs are navigated in their first 128 bits. Distinct hashes are spread over
-shards by hash; each shard builds a small-world graph, and every hash is sent to every shard as a
-query. A beam search, entered through hashed entry points, finds its first partners and expands from
-them along links as long as nodes are within the radius; the shard's beam expands until the recall
-audited against exact search on a sample suffices (in the end, to the exact search itself). Edges are
-verified by the exact distance over all 256 bits and unioned.
+Texts are told by 256-bit SimHashes of their word pairs. Distinct hashes are spread over shards by hash; each shard
+builds a small-world graph over all bits, and every hash is sent to every shard as a query. A beam search,
+entered through hashed entry points, finds its first partners and expands from them along links as long as nodes are
+within the radius. Each shard audits its recall, query by query, against exact search: over hashes of other shards,
+which its graph doesn't hold, and over its own. The beam expands until that recall suffices; one as wide as the
+shard that still falls short gives way to the exact search. Edges are verified by the exact distance and unioned.
 
 Defined results
 * Null or empty texts, and texts without a word: near duplicates of nothing; always kept.
@@ -27,16 +27,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import bound_batches, fresh, slices, write_shared
+from ..operators.graph import components
+from .shared import bound_batches, fresh, slices, trim, write_shared
 from .textops import shingles, simhash, words
 
-#: Bits of 256 in which near copies may differ, and of the 128 that are navigated (2.5 deviations more).
-RADIUS, NAV_RADIUS = 54, 38
-SHARDS, SHARD_ROWS = 6, 2_000_000
+#: Bits of 256 in which near copies may differ.
+RADIUS = 54
+#: A shard of so many hashes takes some 0.3 GB of a worker.
+SHARDS, SHARD_ROWS = 6, 1_000_000
 RECALL = 0.95
-#: A beam of w costs about as much as comparing so many times w nodes outright.
-EXACT_BELOW = 300
+#: Queries of an audit: so many at most of other shards and as many of the own, until so many have partners.
+AUDIT, AUDIT_STEP, PARTNERED = 4096, 256, 100
 _MAX = np.uint64(2**64 - 1)
+_SELF = 511  # beyond any distance
 _W = ["s0", "s1", "s2", "s3"]
 #: Up to so many dropped ids (8 bytes each) are broadcast; beyond, the join shuffles.
 BROADCAST_IDS = 4_000_000
@@ -58,25 +61,25 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 
 def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    d = np.bitwise_count(a[..., 0] ^ b[..., 0])
+    d = np.bitwise_count(a[..., 0] ^ b[..., 0]).astype(np.uint16)
     for j in range(1, a.shape[-1]):
-        d = d + np.bitwise_count(a[..., j] ^ b[..., j])  # uint8 holds up to 255
+        d += np.bitwise_count(a[..., j] ^ b[..., j])
     return d
 
 
 class SmallWorld:
-    """A navigable small-world graph over 128-bit hashes, searched many queries at a time.
+    """A navigable small-world graph over 256-bit hashes, searched many queries at a time.
 
     A beam is a row of machine words: distance << 33 | node << 1 | expanded, sorted.
     """
 
     def __init__(self, nodes: np.ndarray, degree: int = 8, tables: int = 12, beam: int = 16, seed: int = 1):
-        self.x = np.ascontiguousarray(nodes[:, :2])
+        self.x = np.ascontiguousarray(nodes)
         self.n = n = len(nodes)
-        self.degree, self.cap = degree, 2 * degree
+        self.degree, self.cap, self.width, self.recall, self.outright = degree, 2 * degree, beam, 1.0, False
         rng = np.random.default_rng(seed)
         bits = int(np.clip(math.log2(max(n, 2) / 8), 3, 24))
-        self.masks = [rng.choice(128, bits, replace=False) for _ in range(tables)]
+        self.masks = [rng.choice(256, bits, replace=False) for _ in range(tables)]
         self.tables = []
         for m in self.masks:
             k = self._key(self.x, m)
@@ -122,11 +125,11 @@ class SmallWorld:
             # nodes of one batch don't find each other in the graph: compare them outright
             for i in range(0, to - at, 256):
                 d = _distance(q[None, :, :], q[i : i + 256, None, :]).astype(np.uint64)
-                d[np.arange(len(d)), i + np.arange(len(d))] = 255
+                d[np.arange(len(d)), i + np.arange(len(d))] = _SELF
                 k = (d << np.uint64(33)) | (own.astype(np.uint64) << np.uint64(1))[None, :]
                 m = min(self.degree, k.shape[1])
                 k = np.partition(k, m - 1, axis=1)[:, :m]
-                k[(k >> np.uint64(33)) >= 255] = _MAX
+                k[(k >> np.uint64(33)) >= _SELF] = _MAX
                 both = np.sort(np.concatenate([near[i : i + 256], k], 1), axis=1)[:, : self.degree]
                 self._link(own[i : i + 256], both)
             at = to
@@ -136,7 +139,7 @@ class SmallWorld:
             return
         q = self.x[lo:hi]
         d = _distance(q[None, :, :], q[:, None, :]).astype(np.uint64)
-        np.fill_diagonal(d, 255)
+        np.fill_diagonal(d, _SELF)
         k = np.sort((d << np.uint64(33)) | (np.arange(lo, hi).astype(np.uint64) << np.uint64(1))[None, :], axis=1)[:, : min(self.degree, hi - lo - 1)]
         self._link(np.arange(lo, hi), k)
 
@@ -199,14 +202,15 @@ class SmallWorld:
             keys = np.concatenate([keys, np.full((len(keys), width - keys.shape[1]), _MAX)], 1)
         return keys[:, :width].copy()
 
-    def within(self, q: np.ndarray, radius: int, width: int) -> tuple[np.ndarray, np.ndarray]:
-        """(query, node) pairs at most ``radius`` apart.
+    def within(self, q: np.ndarray, radius: int, width: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(query, node) pairs at most ``radius`` apart; the beam is the audited one by default.
 
         What a beam of ``width`` finds expands along the links of nodes within the radius, as far as they
         go: a query with thousands of partners costs what its partners do, not a beam of thousands.
         """
-        if width * EXACT_BELOW >= self.n:
+        if width is None and self.outright:
             return self.exact(q, radius)
+        width = width or self.width
         rows, nodes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         step = max(16, 8192 // width)
         for i in range(0, len(q), step):
@@ -249,33 +253,42 @@ class SmallWorld:
             nodes.append(p)
         return (np.concatenate(rows), np.concatenate(nodes)) if rows else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
-    def audited_width(self, full: np.ndarray, nav: int, radius: int, width: int, wanted: float = RECALL, sample: int = 1024, seed: int = 3) -> tuple[int, float]:
-        """The least beam (doubled from ``width``) whose recall of verified pairs on sampled nodes, against exact search, is ``wanted``."""
-        pick = np.random.default_rng(seed).choice(self.n, min(sample, self.n), replace=False)
-        q = full[pick]
-        r, p = [], []
-        for i in range(0, len(q), max(1, (1 << 20) // self.n)):
-            d = _distance(full[None, :, :], q[i : i + max(1, (1 << 20) // self.n), None, :])
-            a, b = np.nonzero(d <= radius)
-            r.append(a + i)
-            p.append(b)
-        r, p = np.concatenate(r), np.concatenate(p)
-        other = pick[r] != p
-        true = set(zip(r[other].tolist(), p[other].tolist()))
-        while True:
-            if not true or width * EXACT_BELOW >= self.n:
-                return width, 1.0
-            r, p = _pairs(self, full, q, width, nav, radius)
-            recall = len(true & set(zip(r.tolist(), p.tolist()))) / len(true)
-            if recall >= wanted:
-                return width, recall
-            width *= 2
-
+    def audit(self, asked: np.ndarray, radius: int, wanted: float = RECALL, seed: int = 3) -> None:
+        """Doubles the beam until the mean recall of queries, against exact search, is ``wanted``.
 
-def _pairs(shard: SmallWorld, full: np.ndarray, q: np.ndarray, width: int, nav: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    r, p = shard.within(np.ascontiguousarray(q[:, :2]), nav, width)
-    ok = _distance(full[p], q[r]) <= radius if len(r) else np.zeros(0, bool)
-    return r[ok], p[ok]
+        ``asked``: hashes of other shards, in an order that tells nothing of them. They and own nodes, without
+        themselves, are tried in turn until PARTNERED of them have partners, or AUDIT of each have been.
+        """
+        own = np.random.default_rng(seed).permutation(self.n)[:AUDIT]
+        q, skip, true = [], [], []
+        for i in range(0, max(len(own), min(len(asked), AUDIT)), AUDIT_STEP):
+            mine = own[i : i + AUDIT_STEP]
+            part = np.concatenate([asked[:AUDIT][i : i + AUDIT_STEP], self.x[mine]])
+            self_ = np.concatenate([np.full(len(part) - len(mine), -1), mine])
+            r, p = self.exact(part, radius)
+            r, p = r[p != self_[r]], p[p != self_[r]]
+            some = np.unique(r)
+            at = np.searchsorted(some, r)
+            base = sum(map(len, q))
+            q.append(part[some])
+            skip.append(self_[some])
+            true.append((base + at) * self.n + p)
+            if base + len(some) >= PARTNERED:
+                break
+        q, skip, true = np.concatenate(q), np.concatenate(skip), np.concatenate(true)
+        if not len(true):
+            return  # nothing near anything in all that was tried
+        each = np.bincount(true // self.n, minlength=len(q))
+        while True:
+            r, p = self.within(q, radius, self.width)
+            found = np.unique((r * self.n + p)[p != skip[r]])
+            self.recall = float(np.mean(np.bincount(found // self.n, minlength=len(q)) / each))
+            if self.recall >= wanted:
+                return
+            if self.width >= self.n:
+                self.outright, self.recall = True, 1.0
+                return
+            self.width *= 2
 
 
 def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -291,101 +304,103 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         root = low
 
 
-def edges(nodes: DataFrame, radius: int = RADIUS, nav_radius: int = NAV_RADIUS, beam: int = 16, shards: int | None = None) -> DataFrame:
-    """Verified edges (a, b) of distinct hashes ``nodes`` (doc_id, s0..s3) that connect all that the search found.
+def search(nodes: DataFrame, radius: int = RADIUS, beam: int = 16, shards: int | None = None) -> DataFrame:
+    """Verified edges (a, b) of distinct hashes ``nodes`` (doc_id, s0..s3) that connect all that the search found, and
+    a row for each shard with its number in ``a``, the audited beam and recall, and no ``b``.
 
     Within a shard a component is a star, and a query from elsewhere gets one edge to each component
     that it is near to: fewer rows than all pairs, with the same components.
     """
-    spark = nodes.sparkSession
     n = nodes.count()
     s = shards or max(SHARDS, math.ceil(n / SHARD_ROWS))
-    own = nodes.select(F.pmod(F.xxhash64("doc_id"), F.lit(s)).cast("int").alias("shard"), F.lit(0).alias("is_query"), "doc_id", *_W)
-    asked = nodes.select(F.explode(F.sequence(F.lit(0), F.lit(s - 1))).alias("shard"), F.lit(1).alias("is_query"), "doc_id", *_W).where(F.pmod(F.xxhash64("doc_id"), F.lit(s)) != F.col("shard"))
+    turn = F.xxhash64("doc_id", F.lit(1))  # an order that tells nothing of the hashes
+    own = nodes.select(F.pmod(F.xxhash64("doc_id"), F.lit(s)).cast("int").alias("shard"), F.lit(0).alias("is_query"), turn.alias("turn"), "doc_id", *_W)
+    asked = nodes.select(F.explode(F.sequence(F.lit(0), F.lit(s - 1))).alias("shard"), F.lit(1).alias("is_query"), turn.alias("turn"), "doc_id", *_W).where(F.pmod(F.xxhash64("doc_id"), F.lit(s)) != F.col("shard"))
+    edge = lambda a, b: pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(len(a), pa.int64()), pa.nulls(len(a), pa.float64())], ["a", "b", "beam", "recall"])
 
-    def search(batches):
-        ids, rows, graph, root = [], [], None, None
+    def run(batches):
+        ids, rows, held, number, graph = [], [], [], -1, None
 
         def build():
-            nonlocal graph, root, ids, rows
-            ids = np.concatenate(ids) if ids else np.zeros(0, np.int64)
-            rows = np.concatenate(rows) if rows else np.zeros((0, 4), np.uint64)
-            if not len(ids):
-                graph = False
-                return None
-            graph = SmallWorld(rows)
-            width, _ = graph.audited_width(rows, nav_radius, radius, beam)
-            graph.width = width
+            """The graph, audited with the queries that have come so far, and the shard's own edges."""
+            nonlocal graph, ids
+            ids = np.concatenate(ids)
+            graph = SmallWorld(np.concatenate(rows), beam=beam)
+            rows.clear()
+            graph.audit(np.concatenate([x for _, x in held]) if held else np.zeros((0, 4), np.uint64), radius)
+            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.nulls(1, pa.int64()), pa.array([graph.width], pa.int64()), pa.array([graph.recall])], ["a", "b", "beam", "recall"])
             a, b = [], []
             for i in range(0, len(ids), 4096):
-                r, p = _pairs(graph, rows, rows[i : i + 4096], width, nav_radius, radius)
+                r, p = graph.within(graph.x[i : i + 4096], radius)
                 a.append(r + i)
                 b.append(p)
-            root = _roots(len(ids), np.concatenate(a), np.concatenate(b))
-            on = np.flatnonzero(root != np.arange(len(ids)))
-            return pa.RecordBatch.from_arrays([pa.array(ids[on]), pa.array(ids[root[on]])], ["a", "b"])
+            graph.root = _roots(len(ids), np.concatenate(a), np.concatenate(b))
+            on = np.flatnonzero(graph.root != np.arange(len(ids)))
+            yield edge(ids[on], ids[graph.root[on]])
+            for who, x in held:
+                yield from ask(who, x)
+            held.clear()
+
+        def ask(who, x):
+            r, p = graph.within(x, radius)
+            if len(r):
+                key = np.unique(r * len(ids) + graph.root[p])
+                yield edge(who[key // len(ids)], ids[graph.root[key % len(ids)]])
 
         for batch in batches:
+            if not batch.num_rows:
+                continue
+            number = batch.column(0)[0].as_py()
             kind = batch.column(1).to_numpy(zero_copy_only=False)
-            doc = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
-            x = np.stack([batch.column(3 + j).to_numpy(zero_copy_only=False) for j in range(4)], 1).astype(np.int64).view(np.uint64)
+            doc = batch.column(3).to_numpy(zero_copy_only=False).astype(np.int64)
+            x = np.stack([batch.column(4 + j).to_numpy(zero_copy_only=False) for j in range(4)], 1).astype(np.int64).view(np.uint64)
             mine = kind == 0
             if mine.any():
                 ids.append(doc[mine])
                 rows.append(x[mine])
             if mine.all():
                 continue
-            if graph is None and (made := build()) is not None:
-                yield made
-            if graph:
-                q, who = x[~mine], doc[~mine]
-                r, p = _pairs(graph, rows, q, graph.width, nav_radius, radius)
-                if len(r):
-                    key = np.unique(r * len(ids) + root[p])
-                    yield pa.RecordBatch.from_arrays([pa.array(who[key // len(ids)]), pa.array(ids[root[key % len(ids)]])], ["a", "b"])
-        if graph is None and (made := build()) is not None:
-            yield made
-
-    both = own.unionByName(asked).repartitionById(s, F.col("shard")).sortWithinPartitions("is_query", "doc_id")
-    bound_batches(spark)
-    return both.mapInArrow(search, "a bigint, b bigint")
-
-
-def components(links: DataFrame) -> DataFrame:
-    """(node, root) of every node of ``links`` (a, b), root being the least node of its component.
-
-    Alternating large and small stars; each round is written to the shared folder.
-    """
-    now = write_shared(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-    before = None
-    while True:
-        state = now.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")), F.lit(0))).first()
-        if state == before or not state[0]:
-            return now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
-        before = state
-        each = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        w = Window.partitionBy("a")
-        large = each.withColumn("m", F.least("a", F.min("b").over(w))).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        least = large.where("a <> b").distinct().withColumn("m", F.min("b").over(w))
-        small = least.select("a", F.col("m").alias("b")).unionByName(least.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")))
-        now = write_shared(small.distinct(), "links")
-
-
-def groups(docs: DataFrame, radius: int = RADIUS, nav_radius: int = NAV_RADIUS, beam: int = 16, shards: int | None = None) -> DataFrame:
-    """(doc_id, group_id) of every document that has a near copy; group_id is the least doc_id of its group."""
+            if not len(ids):  # a shard without nodes
+                break
+            if graph is not None:
+                yield from ask(doc[~mine], x[~mine])
+                continue
+            held.append((doc[~mine], x[~mine]))
+            if sum(len(d) for d, _ in held) >= AUDIT:
+                yield from build()
+        if graph is None and len(ids):
+            yield from build()
+        graph = None
+        trim()
+
+    both = own.unionByName(asked).repartitionById(s, F.col("shard")).sortWithinPartitions("is_query", "turn", "doc_id")
+    bound_batches(nodes.sparkSession)
+    return both.mapInArrow(run, "a bigint, b bigint, beam bigint, recall double")
+
+
+def _prepared(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, rep, s0..s3) of every document, rep being the least doc_id with the hash; the distinct hashes."""
     sig = write_shared(signatures(docs), "signatures")
     same = write_shared(sig.withColumn("rep", F.min("doc_id").over(Window.partitionBy(*_W))).select("doc_id", "rep", *_W), "same")
-    nodes = same.where("doc_id = rep").dropDuplicates(_W).select("doc_id", *_W)
-    near = edges(nodes, radius, nav_radius, beam, shards)
+    return same, same.where("doc_id = rep").dropDuplicates(_W).select("doc_id", *_W)
+
+
+def audited_recall(docs: DataFrame, radius: int = RADIUS, beam: int = 16, shards: int | None = None) -> DataFrame:
+    """(shard, beam, recall) of a search of ``docs``."""
+    return search(_prepared(docs)[1], radius, beam, shards).where("b is null").select(F.col("a").cast("int").alias("shard"), "beam", "recall")
+
+
+def groups(docs: DataFrame, radius: int = RADIUS, beam: int = 16, shards: int | None = None) -> DataFrame:
+    """(doc_id, group_id) of every document that has a near copy; group_id is the least doc_id of its group."""
+    same, nodes = _prepared(docs)
+    near = search(nodes, radius, beam, shards).where("b is not null").select("a", "b")
     copies = same.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    found = components(near.unionByName(copies))
-    roots = found.select(F.col("root").alias("node"), "root").distinct()
-    return found.unionByName(roots).select(F.col("node").alias("doc_id"), F.col("root").alias("group_id"))
+    return components(near.unionByName(copies)).select(F.col("node").alias("doc_id"), F.col("root").alias("group_id"))
 
 
-def drop_copies(docs: DataFrame, radius: int = RADIUS, nav_radius: int = NAV_RADIUS, beam: int = 16) -> DataFrame:
+def drop_copies(docs: DataFrame, radius: int = RADIUS, beam: int = 16) -> DataFrame:
     """One document of each group of near copies, and all that are in none; all columns as they were."""
-    found = write_shared(groups(docs, radius, nav_radius, beam), "groups")
+    found = write_shared(groups(docs, radius, beam), "groups")
     gone, twice, nth = fresh(docs.columns, "__lw_drop", "__lw_again", "__lw_n")
     drop = found.where("doc_id <> group_id").select(F.col("doc_id").alias(gone))
     n = drop.count()

@@ -41,6 +41,18 @@ def bound_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
+def trim() -> None:
+    """Hand freed memory back to the system: workers are reused, and would keep a stage's most for all later ones."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def large_text(column: pa.Array) -> pa.Array:
     """A contiguous large_string array; null texts count as empty."""
     if isinstance(column, pa.ChunkedArray):

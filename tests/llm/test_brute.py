@@ -150,26 +150,39 @@ def test_parts_inside_a_url(spark):
 # --- 3
 
 
-def test_graph_search_recall():
-    rng = np.random.default_rng(4)
-    base = rng.integers(0, 2**63, (5000, 4), dtype=np.int64).view(np.uint64)
-    near = base[:1500].copy()
-    for row in near:
-        for b in rng.choice(256, rng.integers(1, 40), replace=False):
+def _flipped(rng, rows, most):
+    out = rows.copy()
+    for row in out:
+        for b in rng.choice(256, rng.integers(1, most), replace=False):
             row[b >> 6] ^= np.uint64(1) << np.uint64(b & 63)
-    x = np.concatenate([base, near, np.repeat(base[:1], 400, 0) ^ (np.uint64(1) << rng.integers(0, 63, (400, 4)).astype(np.uint64))])
+    return out
+
+
+@pytest.mark.parametrize("n", [1, 2, 300, 6000])
+def test_graph_search_recall(n):
+    """Of members, and of hashes that the graph doesn't hold."""
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 2**63, (n, 4), dtype=np.int64).view(np.uint64)
+    hub = np.repeat(base[:1], n // 15, 0) ^ (np.uint64(1) << rng.integers(0, 63, (n // 15, 4)).astype(np.uint64))
+    x = np.concatenate([base, _flipped(rng, base[: n // 4], 30), hub])
+    away = np.concatenate([_flipped(rng, base[n // 2 : n // 2 + 400], 30), _flipped(rng, hub[:50], 5), rng.integers(0, 2**63, (400, 4), dtype=np.int64).view(np.uint64)])
     g = neardup.SmallWorld(x)
-    assert 8 * neardup.EXACT_BELOW < g.n
-    width, recall = g.audited_width(x, neardup.NAV_RADIUS, neardup.RADIUS, 8)
-    assert recall >= 0.9
-    r, p = neardup._pairs(g, x, x, width, neardup.NAV_RADIUS, neardup.RADIUS)
-    got = set(zip(r.tolist(), p.tolist()))
-    want = set()
-    for i in range(0, len(x), 64):
-        a, b = np.nonzero(neardup._distance(x[None], x[i : i + 64, None]) <= neardup.RADIUS)
-        want |= set(zip((a + i).tolist(), b.tolist()))
-    other = {q for q in want if q[0] != q[1]}
-    assert got <= want and len(got & other) >= 0.9 * len(other)
+    g.audit(away[rng.permutation(len(away))], neardup.RADIUS)
+    assert g.recall >= neardup.RECALL and (g.n < 300 or not g.outright)
+    for q, own in ((x, True), (away, False)):
+        r, p = g.within(q, neardup.RADIUS)
+        got = np.unique(r * g.n + p)
+        r, p = g.exact(q, neardup.RADIUS)
+        want = np.unique(r * g.n + p)
+        assert not len(np.setdiff1d(got, want))
+        if own:
+            want, got = (k[k // g.n != k % g.n] for k in (want, got))
+        assert len(got) >= 0.9 * len(want)
+
+
+def test_opposite_hashes_are_far_apart():
+    x = np.array([[5, 6, 7, 8]], np.uint64)
+    assert neardup._distance(x, ~x).tolist() == [256]
 
 
 def test_near_duplicates_by_brute_force(spark):
@@ -187,6 +200,8 @@ def test_near_duplicates_by_brute_force(spark):
             truth[len(texts) - 1] = i
     docs = spark.createDataFrame(texts, "doc_id bigint, text string").repartition(3)
     found = {r["doc_id"]: r["group_id"] for r in neardup.groups(docs, shards=3).collect()}
+    audit = neardup.audited_recall(docs, shards=3).collect()
+    assert sorted(r["shard"] for r in audit) == [0, 1, 2] and all(r["recall"] >= neardup.RECALL and r["beam"] >= 16 for r in audit)
     size = Counter(truth.values())
     true = {d for d, g in truth.items() if size[g] > 1}
     assert len(set(found) & true) >= 0.9 * len(true) and not set(found) - true
@@ -195,23 +210,6 @@ def test_near_duplicates_by_brute_force(spark):
     assert set(kept) == set(truth.values()) and sum(kept.values()) <= len(size) + 0.1 * len(true)
 
 
-def test_components_by_union_find(spark):
-    rng = random.Random(6)
-    links = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(1000 + i, 1001 + i) for i in range(70)]
-    root = {}
-
-    def find(x):
-        while root.setdefault(x, x) != x:
-            x = root[x]
-        return x
-
-    for a, b in links:
-        x, y = sorted((find(a), find(b)))
-        root[y] = x
-    got = {r["node"]: r["root"] for r in neardup.components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
-    assert got == {x: find(x) for x in root if find(x) != x}
-
-
 def test_simhash_by_brute_force():
     rng = np.random.default_rng(7)
     counts = np.array([1, 0, 300, 7, 1000])
