@@ -1,21 +1,22 @@
 """Benchmark decontamination by suffix arrays over the training text.
 
-Each task turns its documents, some two million words at a time, into a suffix array: all word
+Each task turns its documents, ``array_words`` words at a time, into a suffix array: all word
 positions, sorted by the words that follow (to the depth of the longest test item: no comparison goes
-further). Every suffix of every test item is binary-searched in each array, which yields its longest
-verbatim match there and all its locations. A document is affected by an item if they share
-``min_words`` words in a row, or the whole item where that is shorter.
+further). Every suffix of every test item is binary-searched in each array, which yields the longest
+verbatim match at each place. A document is affected by an item if they share ``min_words`` words in a
+row, or the whole item where that is shorter.
 
 Words are compared without case and punctuation, by 64-bit hashes.
 
 Defined results
-* Null or empty texts: match nothing. Items of fewer than ``least_item`` words (null and empty ones
-  too): matched by nothing, as they would hit ordinary prose.
-* Repeated items or rows: each counts; (doc_id, item_id) is reported once, with its longest match,
-  ties going to the earliest place in the document, then in the item.
+* Null or empty texts and items: match nothing. An item of fewer than ``least_item`` words affects the documents
+  that consist of it alone: within a longer text it would hit ordinary prose.
+* ``matches`` tells every place in a document where an item's words stand, with the longest match there, but
+  for those within a longer match of the same item; ties go to the earliest place in the item.
+* Repeated items or rows: equal matches are told once.
 * A null doc_id is reported as null, and its row is removed like any other.
 * Empty tables: no matches. Extra columns: ignored by ``matches``, passed through by ``drop_affected``.
-* Very long texts: searched whole; a document is never cut between two arrays.
+* Very long texts: searched whole. One beyond ``array_words`` takes several arrays, which overlap by the longest item.
 """
 
 from __future__ import annotations
@@ -27,14 +28,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bound_batches, slices
+from .shared import bound_batches, slices, trim
 from .textops import words
 
-ARRAY_WORDS = 2_000_000
+ARRAY_WORDS = 500_000
 MIN_WORDS = 13
 LEAST_ITEM = 6
 #: Words of test items searched in one pass over the documents; more items take more passes.
 PASS_WORDS = 4_000_000
+#: Places looked at together.
+PLACES = 2_000_000
 
 
 def word_codes(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -53,8 +56,8 @@ def word_codes(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         order = np.argsort(hashes, kind="stable")
         full = hashes[order]
         new[1:] = full[1:] != full[:-1]
-    codes = np.empty(n, np.int64)
-    codes[order] = np.cumsum(new)
+    codes = np.empty(n, np.int32)
+    codes[order] = np.cumsum(new, dtype=np.int32)
     return codes, full[new]
 
 
@@ -66,15 +69,15 @@ def suffix_array(codes: np.ndarray, depth: int) -> np.ndarray:
         return _suffix_array_large(codes, depth)
     wide = np.uint64(max(bits, int(codes.max()).bit_length()))
     low = (np.uint64(1) << np.uint64(bits)) - np.uint64(1)
-    rank = np.zeros(n + depth + 1, np.int64)
+    rank = np.zeros(n + depth + 1, np.int32)
     rank[:n] = codes
-    todo, h = np.arange(n, dtype=np.int64), 1
-    sa = np.empty(n, np.int64)
-    slot = np.arange(n)  # where in sa the sorted todo go
+    todo, h = np.arange(n, dtype=np.int32), 1
+    sa = np.empty(n, np.int32)
+    slot = np.arange(n, dtype=np.int32)  # where in sa the sorted todo go
     while len(todo):
         a, b = rank[todo].astype(np.uint64), rank[todo + h].astype(np.uint64)
         packed = np.sort((((a << wide) | b) << np.uint64(bits)) | todo.astype(np.uint64))
-        order, pair = (packed & low).astype(np.int64), packed >> np.uint64(bits)
+        order, pair = (packed & low).astype(np.int32), packed >> np.uint64(bits)
         sa[slot] = order
         new = np.empty(len(order), bool)
         new[0] = True
@@ -120,7 +123,7 @@ class TestItems:
         self.hashes, self.item, self.first = w.hashes, w.doc, w.first
         self.depth = int(size.max()) if len(size) else 0
         need = np.minimum(min_words, size)
-        need[size < least_item] = np.iinfo(np.int32).max
+        self.alone = size < least_item
         room = self.first[1:][self.item] - np.arange(len(self.hashes))
         self.need = need[self.item]
         self.starts = np.flatnonzero(room >= self.need)  # suffixes that are long enough to matter
@@ -143,22 +146,27 @@ def _narrow(codes: np.ndarray, sa: np.ndarray, lo: np.ndarray, hi: np.ndarray, d
     return bounds[0], bounds[1]
 
 
-def search(hashes: np.ndarray, first: np.ndarray, items: TestItems) -> tuple[np.ndarray, ...]:
-    """(document index, item index, matched words, word in document, word in item) of every longest match, one for each document and item.
+Found = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def _none() -> Found:
+    return tuple(np.zeros(0, np.int64) for _ in range(5))
+
+
+def search(hashes: np.ndarray, first: np.ndarray, items: TestItems) -> Found:
+    """(document index, item index, matched words, word in document, word in item) of the longest match at every place.
 
     ``first``: where each document's words begin; the last is the number of words.
     """
-    none = tuple(np.zeros(0, np.int64) for _ in range(5))
     if not len(hashes) or not len(items.starts):
-        return none
+        return _none()
     codes, known = word_codes(hashes)
     # an end mark, code 0, after each document; a suffix that reaches it is at its end
     n_docs = len(first) - 1
-    doc = np.repeat(np.arange(n_docs), np.diff(first))
-    text = np.zeros(len(codes) + n_docs, np.int64)
-    text[np.arange(len(codes)) + doc] = codes
-    at = np.searchsorted(known, items.hashes)
-    at = np.minimum(at, len(known) - 1)
+    text = np.zeros(len(codes) + n_docs, np.int32)
+    text[np.arange(len(codes), dtype=np.int32) + np.repeat(np.arange(n_docs, dtype=np.int32), np.diff(first))] = codes
+    del codes
+    at = np.minimum(np.searchsorted(known, items.hashes), len(known) - 1)
     wanted = np.where(known[at] == items.hashes, at + 1, -1)
     sa = suffix_array(text, items.depth)
     live = items.starts[wanted[items.starts] > 0]
@@ -177,11 +185,21 @@ def search(hashes: np.ndarray, first: np.ndarray, items: TestItems) -> tuple[np.
         go = wanted[live + depth] > 0
         live, lo, hi = live[go], lo[go], hi[go]
     if not found:
-        return none
+        return _none()
     start, lo, hi = (np.concatenate(x) for x in zip(*found))
+    turn = np.cumsum(hi - lo) // PLACES
+    out = []
+    for i in np.unique(turn):
+        on = turn == i
+        out.append(_longest(*_places(text, sa, first, wanted, items, start[on], lo[on], hi[on])))
+    return _outermost(*_longest(*(np.concatenate(x) for x in zip(*out))))
+
+
+def _places(text: np.ndarray, sa: np.ndarray, first: np.ndarray, wanted: np.ndarray, items: TestItems, start: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> Found:
+    """Where the suffixes of items that begin at ``start`` stand, each match as long as it goes."""
     count = hi - lo
     start = np.repeat(start, count)
-    place = sa[np.repeat(lo - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())]
+    place = sa[np.repeat(lo - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())].astype(np.int64)
     # a match that goes on to the left is reported from where it begins
     inner = (start > items.first[:-1][items.item[start]]) & (place > 0)
     inner[inner] = text[place[inner] - 1] == wanted[start[inner] - 1]
@@ -193,39 +211,71 @@ def search(hashes: np.ndarray, first: np.ndarray, items: TestItems) -> tuple[np.
         a, b = place[going] + size[going], start[going] + size[going]
         going = going[(a < len(text)) & (text[np.minimum(a, len(text) - 1)] == wanted[b])]
         size[going] += 1
+    n_docs = len(first) - 1
     ends = first[1:] + np.arange(n_docs)  # places of the end marks
     d = np.searchsorted(ends, place, side="right")
     in_doc = place - d - first[d]
     it = items.item[start]
-    in_item = start - items.first[it]
-    order = np.lexsort((in_item, in_doc, -size, it, d))
+    on = ~items.alone[it] | (in_doc == 0) & (np.diff(first)[d] == size)
+    return tuple(x[on] for x in (d, it, size, in_doc, start - items.first[it]))
+
+
+def _longest(d: np.ndarray, it: np.ndarray, size: np.ndarray, in_doc: np.ndarray, in_item: np.ndarray) -> Found:
+    """Of each document, item and place, in order, the longest match."""
+    order = np.lexsort((in_item, -size, in_doc, it, d))
     d, it, size, in_doc, in_item = (x[order] for x in (d, it, size, in_doc, in_item))
     top = np.ones(len(d), bool)
-    top[1:] = (d[1:] != d[:-1]) | (it[1:] != it[:-1])
+    top[1:] = (d[1:] != d[:-1]) | (it[1:] != it[:-1]) | (in_doc[1:] != in_doc[:-1])
     return tuple(x[top] for x in (d, it, size, in_doc, in_item))
 
 
-def _runs(batches: Iterator[pa.RecordBatch], at: int, most: int) -> Iterator[tuple[list[pa.RecordBatch], list]]:
-    """Rows of about ``most`` words at a time, with their words."""
-    parts, found, n = [], [], 0
+def _outermost(d: np.ndarray, it: np.ndarray, size: np.ndarray, in_doc: np.ndarray, in_item: np.ndarray) -> Found:
+    """Without those that lie within an earlier one of the same document and item."""
+    if not len(d):
+        return d, it, size, in_doc, in_item
+    new = np.ones(len(d), bool)
+    new[1:] = (d[1:] != d[:-1]) | (it[1:] != it[:-1])
+    end = in_doc + size
+    reach = np.cumsum(new) * (int(end.max()) + 1) + end
+    on = np.ones(len(d), bool)
+    on[1:] = new[1:] | (reach[1:] > np.maximum.accumulate(reach)[:-1])
+    return tuple(x[on] for x in (d, it, size, in_doc, in_item))
+
+
+def search_long(hashes: np.ndarray, first: np.ndarray, items: TestItems, most: int) -> Found:
+    """The same; a document of more than ``most`` words is searched in pieces, which overlap by the longest item."""
+    if len(first) != 2 or len(hashes) <= most + items.depth:
+        return search(hashes, first, items)
+    out = []
+    for at in range(0, len(hashes), most):
+        part = hashes[at : at + most + items.depth]
+        d, it, size, in_doc, in_item = search(part, np.array([0, len(part)]), items)
+        on = ~items.alone[it]
+        out.append(tuple(x[on] for x in (d, it, size, in_doc + at, in_item)))
+    return _outermost(*_longest(*(np.concatenate(x) for x in zip(*out))))
+
+
+def _runs(batches: Iterator[pa.RecordBatch], at: int, most: int, places: bool) -> Iterator[tuple[list[pa.RecordBatch], np.ndarray, np.ndarray, np.ndarray | None]]:
+    """Rows of about ``most`` words at a time (or one row of more), with their words' hashes, where each row's begin, and their bytes."""
+    parts, hashes, first, where, n = [], [], [], [], 0
+
+    def joined():
+        return parts, np.concatenate(hashes), np.concatenate([*first, [n]]), np.concatenate(where) if places else None
+
     for batch in batches:
         for part in slices(batch, batch.schema.names[at]):
             w = words(part.column(at))
             if parts and n + len(w.hashes) > most:
-                yield parts, found
-                parts, found, n = [], [], 0
+                yield joined()
+                parts, hashes, first, where, n = [], [], [], [], 0
             parts.append(part)
-            found.append(w)
+            hashes.append(w.hashes)
+            first.append(w.first[:-1] + n)
+            if places:
+                where.append(w.at)
             n += len(w.hashes)
     if parts:
-        yield parts, found
-
-
-def _joined(found: list) -> tuple[np.ndarray, np.ndarray]:
-    hashes = np.concatenate([w.hashes for w in found])
-    base = np.cumsum([0] + [len(w.hashes) for w in found])
-    first = np.concatenate([w.first[:-1] + b for w, b in zip(found, base)] + [base[-1:]])
-    return hashes, first
+        yield joined()
 
 
 def load_items(benchmark: DataFrame, min_words: int = MIN_WORDS, least_item: int = LEAST_ITEM) -> list[TestItems]:
@@ -247,25 +297,23 @@ SCHEMA = "doc_id bigint, item_id bigint, matched_words int, doc_word bigint, doc
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WORDS, least_item: int = LEAST_ITEM, array_words: int = ARRAY_WORDS) -> DataFrame:
-    """The longest verbatim match of every affected document and item, with its place in both."""
+    """The longest verbatim match at every place where an item affects a document, with its place in both."""
     bound_batches(docs.sparkSession)
     out = None
     for items in load_items(benchmark, min_words, least_item):
 
         def run(batches, items=items):
-            for parts, found in _runs(batches, 1, array_words):
-                hashes, first = _joined(found)
-                d, it, size, in_doc, in_item = search(hashes, first, items)
+            for parts, hashes, first, where in _runs(batches, 1, array_words, True):
+                d, it, size, in_doc, in_item = search_long(hashes, first, items, array_words)
                 if len(d):
                     ids = pa.chunked_array([p.column(0) for p in parts]).take(pa.array(d)).combine_chunks()
-                    at = np.concatenate([w.at for w in found])
-                    yield pa.RecordBatch.from_arrays([ids, pa.array(items.ids[it]), pa.array(size.astype(np.int32)), pa.array(in_doc), pa.array(at[first[d] + in_doc].astype(np.int64)), pa.array(in_item.astype(np.int32))], ["doc_id", "item_id", "matched_words", "doc_word", "doc_byte", "item_word"])
+                    byte = where[first[d] + in_doc].astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([ids, pa.array(items.ids[it]), pa.array(size.astype(np.int32)), pa.array(in_doc), pa.array(byte), pa.array(in_item.astype(np.int32))], ["doc_id", "item_id", "matched_words", "doc_word", "doc_byte", "item_word"])
+            trim()
 
         one = docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
         out = one if out is None else out.unionByName(one)
-    # a doc_id on several rows
-    best = F.max_by(F.struct("matched_words", "doc_word", "doc_byte", "item_word"), F.struct("matched_words", -F.col("doc_word"), -F.col("item_word"))).alias("best")
-    return out.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.*")
+    return out.distinct()
 
 
 def drop_affected(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WORDS, least_item: int = LEAST_ITEM, array_words: int = ARRAY_WORDS) -> DataFrame:
@@ -276,8 +324,8 @@ def drop_affected(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WO
     for items in load_items(benchmark, min_words, least_item):
 
         def run(batches, items=items):
-            for parts, found in _runs(batches, at, array_words):
-                hit = np.unique(search(*_joined(found), items)[0])
+            for parts, hashes, first, _ in _runs(batches, at, array_words, False):
+                hit = np.unique(search_long(hashes, first, items, array_words)[0])
                 base = 0
                 for part in parts:
                     own = hit[(hit >= base) & (hit < base + part.num_rows)] - base
@@ -288,6 +336,7 @@ def drop_affected(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WO
                     keep = np.ones(part.num_rows, bool)
                     keep[own] = False
                     yield part.filter(pa.array(keep))
+            trim()
 
         docs = docs.mapInArrow(run, schema)
     return docs

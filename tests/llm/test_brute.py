@@ -351,33 +351,39 @@ def test_matches_by_brute_force(spark):
             at = rng.randrange(len(w))
             w[at:at] = t[a : a + rng.choice([5, 12, 13, 14, 99])]
         docs.append((i, (", " if i % 2 else " ").join(w).title()))
+    docs += [(90, " ".join([items[0][1]] * 3)), (91, "x " + items[2][1].upper() + " y " + items[2][1]), (92, "tiny item!"), (93, "a tiny item"), (94, "la " * 400), (95, prose(rng, 200) + " " + items[5][1] + " " + prose(rng, 150))]
+    items += [(20, "Tiny item"), (21, "la " * 30)]
     want = {}
     for d, t in docs:
         dw = plain_words(t)
         for q, u in items:
             qw = plain_words(u)
             if len(qw) < decontaminate.LEAST_ITEM:
+                if dw == qw:
+                    want[(d, q, 0)] = len(qw)
                 continue
-            best = 0
+            reach = 0
             for i in range(len(dw)):
+                best = 0
                 for j in range(len(qw)):
                     k = 0
                     while i + k < len(dw) and j + k < len(qw) and dw[i + k] == qw[j + k]:
                         k += 1
-                    best = max(best, k)
-            if best >= min(decontaminate.MIN_WORDS, len(qw)):
-                want[(d, q)] = best
+                    if not (i and j and dw[i - 1] == qw[j - 1]):
+                        best = max(best, k)
+                if best >= min(decontaminate.MIN_WORDS, len(qw)) and i + best > reach:
+                    want[(d, q, i)], reach = best, i + best
     df, bench = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
     for most in (50, decontaminate.ARRAY_WORDS):
         rows = decontaminate.matches(df, bench, array_words=most).collect()
-        assert {(r["doc_id"], r["item_id"]): r["matched_words"] for r in rows} == want and len(want) > 10
+        assert {(r["doc_id"], r["item_id"], r["doc_word"]): r["matched_words"] for r in rows} == want and len(want) > 20 and len(rows) == len(want)
         texts, parts = dict(docs), dict(items)
         for r in rows:
             n, d, q = r["matched_words"], plain_words(texts[r["doc_id"]]), plain_words(parts[r["item_id"]])
             assert d[r["doc_word"] : r["doc_word"] + n] == q[r["item_word"] : r["item_word"] + n]
             assert plain_words(texts[r["doc_id"]].encode()[r["doc_byte"] :].decode())[:n] == q[r["item_word"] : r["item_word"] + n]
-    kept = {r["doc_id"] for r in decontaminate.drop_affected(df, bench).collect()}
-    assert kept == {d for d, _ in docs} - {d for d, _ in want}
+        kept = {r["doc_id"] for r in decontaminate.drop_affected(df, bench, array_words=most).collect()}
+        assert kept == {d for d, _ in docs} - {d for d, _, _ in want}
 
 
 # --- 8
@@ -435,7 +441,7 @@ def test_url_list_by_brute_force(spark):
 
 def test_fit_by_brute_force():
     rng = random.Random(13)
-    for _ in range(60):
+    for case in range(500):
         lengths = np.array(sorted(rng.sample(range(2, 40), 5)))
         counts = np.array([rng.randint(0, 4) for _ in lengths])
         budget = rng.randint(0, 150)
@@ -443,9 +449,29 @@ def test_fit_by_brute_force():
         for w, c in zip(lengths.tolist(), counts.tolist()):
             sums = {s + k * w for s in sums for k in range(c + 1)}
         want = max(s for s in sums if s <= budget)
-        for take in (mixing.bounded_fit(lengths, counts, budget), mixing.fit_counts(lengths, counts, budget, 1)):
-            assert (take >= 0).all() and (take <= counts).all() and int((take * lengths).sum()) <= budget
-        assert int((mixing.bounded_fit(lengths, counts, budget) * lengths).sum()) == want
+        for take in (mixing.bounded_fit(lengths, counts, budget), mixing.fit_counts(lengths, counts, budget, case)):
+            assert (take >= 0).all() and (take <= counts).all() and int((take * lengths).sum()) == want
+    take = mixing.fit_counts(np.array([6, 10, 15]), np.array([4, 1, 2]), 30, 1)
+    assert int((take * [6, 10, 15]).sum()) == 30
+
+
+def test_fit_gives_back_its_share(monkeypatch):
+    """Where the first programme can't meet the budget, and where rounding loses more than it holds."""
+    monkeypatch.setattr(mixing, "REST", 8)
+    rng = random.Random(16)
+    for case in range(60):
+        lengths = np.array(sorted(rng.sample(range(20, 400), 6)))
+        counts = np.array([rng.randint(1, 9) for _ in lengths])
+        budget = rng.randint(300, 4000)
+        want = int((mixing.bounded_fit(lengths, counts, budget) * lengths).sum())
+        assert int((mixing.fit_counts(lengths, counts, budget, case) * lengths).sum()) == want
+
+
+def test_tokens_by_splitting():
+    texts = ["", None, " ", "a", " a  b\n", "\x0bq\x0c", "ä\u00a0ö 你 好", "x" * 10, "\t\r\n", "b c"]
+    for part in (texts, texts[3:7], []):
+        assert mixing.count_tokens(pa.array(part, pa.string())).tolist() == [len([x for x in re.split(r"[ \t\n\x0b\f\r]+", t or "") if x]) for t in part]
+    assert mixing.count_tokens(pa.array(texts, pa.string())[2:6]).tolist() == [0, 1, 2, 1]
 
 
 def test_mix_meets_its_budgets(spark):
