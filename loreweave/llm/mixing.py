@@ -1,8 +1,9 @@
 """Mixing sources to target weights by subset-sum budget fitting.
 
 Documents are counted by source and exact token length. Of each length a source first gives its share
-of the budget, rounded down; what remains of the budget is met by a bounded-knapsack dynamic programme
-over the lengths left. Of each (source, length) the documents with the least seeded hashes are taken:
+of the budget but for a remainder, rounded down; what remains is met by a bounded-knapsack dynamic programme
+over the lengths left. Where that falls short of the budget, more of the share is given back, in the end all
+of it, and the programme runs again. Of each (source, length) the documents with the least seeded hashes are taken:
 the hash of the last one is a cut-off, so the choice is a filter over one scan.
 
 Defined results
@@ -10,7 +11,9 @@ Defined results
 * A null source is a source of its own. Null ids hash alike; ties at a cut-off go by (doc_id, text), and
   of rows equal in these, any.
 * Repeated rows are documents of their own, each with its tokens.
-* A source's tokens are its budget exactly, or the most below it that its lengths can make.
+* A source's tokens are its budget exactly, or the most below it that its lengths can make. (Only where it
+  takes a programme over more than MOST_REST tokens, in units of the lengths' common divisor, to make them
+  is it the most that one of that size finds.)
 * A source short of its share gives all; the others share what it lacks, so a small source shrinks none.
 * Sources without a weight get none (weights given). Empty tables: empty results.
 * Extra columns pass through, whatever their names.
@@ -18,16 +21,20 @@ Defined results
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .shared import fresh, write_shared
+from .shared import bound_batches, fresh, large_text, slices, write_shared
 
-#: What the dynamic programme has to fit, beside the longest document.
-REST = 1 << 16
+#: What the dynamic programme has to fit at first, beside the longest document, and at most.
+REST, MOST_REST = 1 << 16, 1 << 24
 #: The default budget, as a share of the tokens of all weighted sources.
 KEEP = 0.8
 #: So many (source, length) cut-offs are broadcast; more are joined by a shuffle.
@@ -35,9 +42,35 @@ BROADCAST_CUTS = 2_000_000
 NULL_SOURCE = "\x00null"
 
 
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
+
+
+def count_tokens(texts: pa.Array) -> np.ndarray:
+    """Runs of non-blank characters of each text; 0 for null."""
+    arr = large_text(texts)
+    off = np.frombuffer(arr.buffers()[1], np.int64)[arr.offset : arr.offset + len(arr) + 1] if len(arr) else np.zeros(1, np.int64)
+    raw = np.frombuffer(arr.buffers()[2], np.uint8)[off[0] : off[-1]] if off[-1] > off[0] else np.zeros(0, np.uint8)
+    off = off - off[0]
+    head = ~_BLANK[raw]
+    first = off[:-1][np.diff(off) > 0]
+    begins = head[first].copy()
+    head[1:] &= _BLANK[raw[:-1]]
+    head[first] = begins
+    at = np.flatnonzero(head)
+    return np.searchsorted(at, off[1:]) - np.searchsorted(at, off[:-1])
+
+
+@F.arrow_udf(T.IntegerType())
+def _n_tokens(texts: pa.Array) -> pa.Array:
+    batch = pa.RecordBatch.from_arrays([texts], ["text"])
+    out = [count_tokens(part.column(0)) for part in slices(batch, "text", 8 << 20)]
+    return pa.array(np.concatenate([np.zeros(0, np.int64), *out]).astype(np.int32))
+
+
 def n_tokens(text: Column) -> Column:
     """Runs of non-blank characters; 0 for null."""
-    return F.coalesce(F.size(F.filter(F.split(text, r"\s+"), lambda x: x != "")), F.lit(0))
+    return _n_tokens(text)
 
 
 def bounded_fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
@@ -49,7 +82,7 @@ def bounded_fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndar
     if budget <= 0:
         return take
     reach, mask = 1, (1 << (budget + 1)) - 1
-    maker = np.full(budget + 1, -1, np.int64)
+    maker = np.full(budget + 1, -1, np.int32)
     parts: list[tuple[int, int]] = []
     for i, (w, c) in enumerate(zip(lengths.tolist(), counts.tolist())):
         c = min(c, budget // w) if w else 0
@@ -76,24 +109,35 @@ def bounded_fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndar
 
 def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int, seed: int) -> np.ndarray:
     """How many documents of each length make ``budget`` tokens, or the most below it."""
+    on = np.flatnonzero((counts > 0) & (lengths > 0))
+    take = np.zeros(len(counts), np.int64)
     total = int((lengths * counts).sum())
     if budget >= total:
         return counts.copy()
-    if budget <= 0 or not total:
-        return np.zeros_like(counts)
-    take = np.array([int(c) * budget // total for c in counts], np.int64)
-    rest = budget - int((lengths * take).sum())
-    order = np.random.default_rng(seed).permutation(len(lengths))
-    while rest > REST:  # one more of each length, in seeded order
-        can = order[(take < counts)[order]]
-        fill = can[np.cumsum(lengths[can]) <= rest - REST]
-        if not len(fill):
-            break
-        take[fill] += 1
-        rest -= int(lengths[fill].sum())
-    left = counts - take
-    take[order] += bounded_fit(lengths[order], left[order], rest)
-    return take
+    if budget <= 0 or not len(on):
+        return take
+    unit = math.gcd(*lengths[on].tolist())
+    w, c, budget, total = lengths[on] // unit, counts[on], budget // unit, total // unit
+    order = np.random.default_rng(seed).permutation(len(on))
+    rest, most = REST, -1
+    while True:
+        given = max(0, budget - rest)
+        own = np.array([int(x) * given // total for x in c], np.int64)
+        left = budget - int((w * own).sum())
+        while left > 2 * rest:  # what rounding lost: one more of each length, in seeded order
+            can = order[(own < c)[order]]
+            fill = can[np.cumsum(w[can]) <= left - rest]
+            if not len(fill):
+                break
+            own[fill] += 1
+            left -= int(w[fill].sum())
+        own[order] += bounded_fit(w[order], (c - own)[order], left)
+        made = int((w * own).sum())
+        if made > most:
+            most, take[on] = made, own
+        if made == budget or not given or rest >= MOST_REST:
+            return take
+        rest *= 8
 
 
 def target_budgets(totals: dict[str, int], weights: dict[str, float] | None = None, budget: int | None = None, temperature: float = 0.7) -> dict[str, int]:
@@ -133,6 +177,7 @@ def kept_shares(docs: DataFrame, mixed: DataFrame) -> DataFrame:
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, budget: int | None = None, temperature: float = 0.7, seed: int = 5) -> DataFrame:
     """The chosen rows, all columns as they were."""
     spark = docs.sparkSession
+    bound_batches(spark)
     names = docs.columns
     src, tok, draw, cut, tied_, need, nth = fresh(names, "__lw_source", "__lw_tokens", "__lw_draw", "__lw_cut", "__lw_tied", "__lw_need", "__lw_n")
     source = F.coalesce(F.col("source").cast("string"), F.lit(NULL_SOURCE))
