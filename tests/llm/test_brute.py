@@ -53,13 +53,33 @@ def test_toxicity_held_out(spark):
 
 def test_risk_is_corrected_for_positives_among_the_unlabelled():
     rng = np.random.default_rng(0)
-    x_p = (rng.random((300, 2)) < (0.9, 0.1)).astype(np.float32)
-    x_u = np.concatenate([(rng.random((300, 2)) < (0.9, 0.1)), rng.random((700, 2)) < (0.05, 0.5)]).astype(np.float32)
-    w, b = toxicity.nnpu_train(x_p, x_u, 0.3)
-    p = 1 / (1 + np.exp(-(x_u @ w + b)))
+    x_p = (rng.random((300, 2)) < (0.9, 0.1)).astype(float)
+    x_u = np.concatenate([(rng.random((300, 2)) < (0.9, 0.1)), rng.random((700, 2)) < (0.05, 0.5)]).astype(float)
+    sig = lambda z: 1 / (1 + np.exp(-z))
+
+    def unlabelled(theta):
+        s = x_u @ theta[:-1] + theta[-1]
+        return np.logaddexp(0, s).mean(), np.append(sig(s) @ x_u, sig(s).sum()) / len(s)
+
+    w, b = toxicity.nnpu_train(x_p, unlabelled, 0.3)
+    p = sig(x_u @ w + b)
     assert p[:300].mean() > 0.75 and p[300:].mean() < 0.15
 
 
+def test_gradients_of_all_unlabelled_rows(spark):
+    """Summed by the cluster over equal rows: loss and gradient of every row by itself."""
+    rng = np.random.default_rng(3)
+    x = np.where(rng.random((900, 7)) < 0.2, rng.choice([0.25, 0.5, 1.0], (900, 7)), 0)
+    blob = lambda r: np.array([(i, v) for i, v in enumerate(r) if v], toxicity._ADMITTED).tobytes()
+    table = spark.createDataFrame([(bytearray(blob(r)),) for r in x], "features binary").repartition(5).groupBy("features").count().withColumnRenamed("count", "n")
+    assert table.count() < 900
+    theta = rng.normal(size=8)
+    loss, grad = toxicity.over_table(table, 900, 7)(theta)
+    s = x @ theta[:-1] + theta[-1]
+    p = 1 / (1 + np.exp(-s))
+    assert abs(loss - np.logaddexp(0, s).mean()) < 1e-6 and np.abs(grad - np.append(p @ x, p.sum()) / 900).max() < 1e-6
+
+
 def test_the_end_of_a_long_text_counts(spark):
     model = toxicity.ToxicModel(np.sort((textops.words(pa.array(["vile"])).hashes >> np.uint64(32)).astype(np.uint32)), np.array([9.0]), -3.0, 0.1)
     s = toxicity.score(pa.array(["calm " * 400_000 + "vile " * 20_000, "calm " * 10, ""], pa.large_string()), model)
