@@ -36,6 +36,8 @@ RADIUS = 54
 #: A shard of so many hashes takes some 0.3 GB of a worker.
 SHARDS, SHARD_ROWS = 6, 1_000_000
 RECALL = 0.95
+#: Entry tables of a graph, and how many they may become; each takes 6 bytes a node.
+TABLES, MOST_TABLES = 24, 96
 #: Queries of an audit: so many at most of other shards and as many of the own, until so many have partners.
 AUDIT, AUDIT_STEP, PARTNERED = 4096, 256, 100
 _MAX = np.uint64(2**64 - 1)
@@ -73,39 +75,45 @@ class SmallWorld:
     A beam is a row of machine words: distance << 33 | node << 1 | expanded, sorted.
     """
 
-    def __init__(self, nodes: np.ndarray, degree: int = 8, tables: int = 12, beam: int = 16, seed: int = 1):
+    def __init__(self, nodes: np.ndarray, degree: int = 8, tables: int = TABLES, beam: int = 16, seed: int = 1):
         self.x = np.ascontiguousarray(nodes)
         self.n = n = len(nodes)
         self.degree, self.cap, self.width, self.recall, self.outright = degree, 2 * degree, beam, 1.0, False
-        rng = np.random.default_rng(seed)
-        bits = int(np.clip(math.log2(max(n, 2) / 8), 3, 24))
-        self.masks = [rng.choice(256, bits, replace=False) for _ in range(tables)]
-        self.tables = []
-        for m in self.masks:
-            k = self._key(self.x, m)
-            order = np.argsort(k, kind="stable")
-            self.tables.append((k[order], order.astype(np.int32)))
+        self.rng = np.random.default_rng(seed)
+        self.bits = int(np.clip(math.log2(max(n, 2) / 12), 3, 14))
+        self.most = max(12, 2 * n >> self.bits)
+        self.masks: list[np.ndarray] = []
+        self.tables: list[tuple[np.ndarray, np.ndarray]] = []
+        self._add_tables(tables)
         self.links = np.full((n, self.cap), -1, np.int32)
         self.used = np.zeros(n, np.int32)
         self._build(beam)
 
+    def _add_tables(self, n: int) -> None:
+        for _ in range(n):
+            m = self.rng.choice(256, self.bits, replace=False)
+            k = self._key(self.x, m)
+            order = np.argsort(k, kind="stable")
+            self.masks.append(m)
+            self.tables.append((k[order], order.astype(np.int32)))
+
     @staticmethod
     def _key(x: np.ndarray, bits: np.ndarray) -> np.ndarray:
         k = np.zeros(len(x), np.uint64)
         for i, b in enumerate(bits):
             k |= ((x[:, b >> 6] >> np.uint64(b & 63)) & np.uint64(1)) << np.uint64(i)
-        return k.astype(np.uint32)
+        return k.astype(np.uint16)
 
-    def _entries(self, q: np.ndarray, most: int = 6) -> np.ndarray:
-        """Nodes that share a hash bucket with each query: some of every table, as -1-padded rows."""
+    def _entries(self, q: np.ndarray) -> np.ndarray:
+        """Nodes that share a hash bucket with each query, twice as many of each table as a bucket has on average, as -1-padded rows."""
         cols = []
         for m, (keys, order) in zip(self.masks, self.tables):
             k = self._key(q, m)
-            at = np.searchsorted(keys, k)
-            for j in range(most):
-                i = np.minimum(at + j, self.n - 1)
-                cols.append(np.where((at + j < self.n) & (keys[i] == k), order[i], -1))
-        return np.stack(cols, 1)
+            at, end = np.searchsorted(keys, k), np.searchsorted(keys, k, side="right")
+            size = min(self.most, int((end - at).max(initial=0)))
+            i = at[:, None] + np.arange(size)
+            cols.append(np.where(i < end[:, None], order[np.minimum(i, self.n - 1)], -1))
+        return np.concatenate(cols, 1)
 
     def _score(self, q: np.ndarray, nodes: np.ndarray) -> np.ndarray:
         d = _distance(self.x[nodes], q[:, None, :]).astype(np.uint64)
@@ -254,7 +262,7 @@ class SmallWorld:
         return (np.concatenate(rows), np.concatenate(nodes)) if rows else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
     def audit(self, asked: np.ndarray, radius: int, wanted: float = RECALL, seed: int = 3) -> None:
-        """Doubles the beam until the mean recall of queries, against exact search, is ``wanted``.
+        """Doubles the beam and the entry tables until the mean recall of queries, against exact search, is ``wanted``.
 
         ``asked``: hashes of other shards, in an order that tells nothing of them. They and own nodes, without
         themselves, are tried in turn until PARTNERED of them have partners, or AUDIT of each have been.
@@ -289,6 +297,7 @@ class SmallWorld:
                 self.outright, self.recall = True, 1.0
                 return
             self.width *= 2
+            self._add_tables(min(len(self.tables), MOST_TABLES - len(self.tables)))
 
 
 def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:

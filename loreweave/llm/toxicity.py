@@ -44,6 +44,7 @@ BITS = 32
 #: A feature counts in full from one in so many words; a shorter text counts as having so many.
 DENSE = 48
 ADMIT, FACTOR = 5, 3
+MOST_TASKS = 128
 #: Up to so many confirmed ids (8 bytes each) are broadcast; beyond, the join shuffles.
 BROADCAST_IDS = 4_000_000
 
@@ -107,7 +108,7 @@ Unlabelled = Callable[[np.ndarray], tuple[float, np.ndarray]]
 _sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def nnpu_train(x_p: np.ndarray, unlabelled: Unlabelled, prior: float, steps: int = 40, rate: float = 0.3, decay: float = 1e-4) -> tuple[np.ndarray, float]:
+def nnpu_train(x_p: np.ndarray, unlabelled: Unlabelled, prior: float, steps: int = 30, rate: float = 0.3, decay: float = 1e-4) -> tuple[np.ndarray, float]:
     """Weights and bias that minimise the non-negative PU risk of the logistic loss, by Adam, with a rate that falls to 0, on gradients of the whole risk.
 
     Where the corrected negative part falls below 0, its gradient is reversed, as the estimator prescribes.
@@ -169,18 +170,21 @@ def _gradient(theta: np.ndarray):
 
 
 def over_table(table: DataFrame, n_rows: int, dim: int) -> Unlabelled:
-    """The mean over ``table`` (features, n), whose gradient is summed by the cluster; the driver gets a number for each feature."""
+    """The mean over ``table`` (features, n). Of its gradient the driver gets a number for each feature and task, or, of more
+    than MOST_TASKS tasks, for each feature."""
+    many = table.rdd.getNumPartitions() > MOST_TASKS
 
     def of(theta: np.ndarray) -> tuple[float, np.ndarray]:
-        sums = table.mapInArrow(_gradient(theta), "at bigint, value double").groupBy("at").agg(F.sum("value").alias("value")).toArrow()
+        sums = table.mapInArrow(_gradient(theta), "at bigint, value double")
+        sums = (sums.groupBy("at").agg(F.sum("value").alias("value")) if many else sums).toArrow()
         total = np.zeros(dim + 2)
-        total[sums["at"].to_numpy()] = sums["value"].to_numpy()
+        np.add.at(total, sums["at"].to_numpy(), sums["value"].to_numpy())
         return total[-1] / n_rows, total[:-1] / n_rows
 
     return of
 
 
-def fit(docs: DataFrame, labels: DataFrame, class_prior: float | None = None, most_positive: int = 4000, most_features: int = 2048, steps: int = 40, seed: int = 7) -> ToxicModel:
+def fit(docs: DataFrame, labels: DataFrame, class_prior: float | None = None, most_positive: int = 4000, most_features: int = 2048, steps: int = 30, seed: int = 7) -> ToxicModel:
     """Train on ``most_positive`` confirmed toxic texts, drawn by a seeded hash, and on all others; all texts are read whole.
 
     ``class_prior``: the share of toxic text among all; by default the toxic share of the labelled
