@@ -166,10 +166,11 @@ def valid_at(m):
     return m.atoms().where(P.valid_at(F.col("valid_from"), F.col("valid_to"), EPOCH + 15 * DAY)).select("atom_id")
 
 
-@query("select atom_id, created_at from (select *, row_number() over (partition by source_id order by created_at desc, atom_id) as n from atoms) where n <= 5", "atoms")
+@query("select atom_id, created_at from atoms order by created_at desc, atom_id limit 100", "atoms")
 def latest_n(m):
-    w = Window.partitionBy("source_id").orderBy(F.desc("created_at"), "atom_id")
-    return m.atoms().withColumn("n", F.row_number().over(w)).where("n <= 5").select("atom_id", "created_at")
+    from .plans.contract import TemporalScope
+
+    return K.latest(m.atoms(), TemporalScope(latest=100)).select("atom_id", "created_at")
 
 
 @query("select atom_id from atoms where domain_mask & 6 <> 0 and trust >= 5000 and atom_type in ('FACT', 'OBSERVATION')", "atoms")
@@ -228,15 +229,18 @@ def exact_broadcast_256(m):
     return R.exact(m.atoms()).select("atom_id")
 
 
+EVERY = 50  # searches ask with each row whose id is divisible by this
+
+
 def _query_vectors(m):
-    return m.table("embeddings").where("vec_id in (0, 1, 2)").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    return m.table("embeddings").where(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
 
 
-def _topk(score: str, order: str, asked: str = "where vec_id in (0, 1, 2)") -> str:
+def _topk(score: str, order: str) -> str:
     return f"""select query_id, node_num, trust, score, rank from (
         select *, row_number() over (partition by query_id order by score {order}, node_num)::int as rank from (
             select q.vec_id as query_id, 8000000000 + v.vec_id as node_num, v.label * 1000 as trust, round({score}, 6) as score
-            from (select * from embeddings {asked}) q, embeddings v)) where rank <= 10"""
+            from (select * from embeddings where vec_id % {EVERY} = 0) q, embeddings v)) where rank <= 10"""
 
 
 _VQ = "v.embedding::double[], q.embedding::double[]"
@@ -244,45 +248,22 @@ _VQ = "v.embedding::double[], q.embedding::double[]"
 
 @query(_topk(f"list_cosine_similarity({_VQ})", "desc"))
 def search_semantic_topk(m):
-    return R.semantic_top(m.embeddings(), _query_vectors(m))
+    return R.semantic_top_all(m.embeddings(), _query_vectors(m))
 
 
 @query(_topk(f"list_distance({_VQ})", "asc"))
 def l2_topk(m):
-    return R.semantic_top(m.embeddings(), _query_vectors(m), by="l2")
+    return R.semantic_top_all(m.embeddings(), _query_vectors(m), by="l2")
 
 
 @query(_topk(f"list_dot_product({_VQ})", "desc"))
 def dot_topk(m):
-    return R.semantic_top(m.embeddings(), _query_vectors(m), by="dot")
+    return R.semantic_top_all(m.embeddings(), _query_vectors(m), by="dot")
 
 
 @query(f"select query_id, node_num, least(floor(score * 10000)::int, trust) as trust from ({_topk(f'list_cosine_similarity({_VQ})', 'desc')}) where least(floor(score * 10000)::int, trust) >= 1000")
 def semantic_capped_trust(m):
-    return R.semantic_candidates(m.embeddings(), _query_vectors(m), trust_min=1000).select("query_id", "node_num", "trust")
-
-
-# the same with every row as a query
-
-
-@query(_topk(f"list_cosine_similarity({_VQ})", "desc", ""))
-def search_semantic_topk_all(m):
-    return R.semantic_top_all(m.embeddings())
-
-
-@query(_topk(f"list_distance({_VQ})", "asc", ""))
-def l2_topk_all(m):
-    return R.semantic_top_all(m.embeddings(), by="l2")
-
-
-@query(_topk(f"list_dot_product({_VQ})", "desc", ""))
-def dot_topk_all(m):
-    return R.semantic_top_all(m.embeddings(), by="dot")
-
-
-@query(f"select query_id, node_num, least(floor(score * 10000)::int, trust) as trust from ({_topk(f'list_cosine_similarity({_VQ})', 'desc', '')}) where least(floor(score * 10000)::int, trust) >= 1000")
-def semantic_capped_trust_all(m):
-    return R.capped(R.semantic_top_all(m.embeddings()), trust_min=1000).select("query_id", "node_num", "trust")
+    return R.capped(R.semantic_top_all(m.embeddings(), _query_vectors(m)), trust_min=1000).select("query_id", "node_num", "trust")
 
 
 @query("""select node_num, arg_min(backend, priority) as backend from (
@@ -384,10 +365,11 @@ def graph_walk_edges(m):
     return graph.walk_edges(m.current_edges(), _seeds(m, 5 * BILLION + 1, 5 * BILLION + 2), 2)
 
 
-# shared evidence through parts is one component at scale, so chains of customers by order are used: customer - order
-@query("select node, root from (select 6000000000 + o_orderkey as node, 3000000000 + o_custkey as root from orders union select 3000000000 + o_custkey, 3000000000 + o_custkey from orders)")
+# chains of some five hundred orders: each order with the next one of its fifty customers
+@query("select o_orderkey as node, min(o_orderkey) over (partition by o_custkey // 50) as root from orders qualify count(*) over (partition by o_custkey // 50) > 1")
 def connectivity_components(m):
-    return graph.components(m.table("orders").select((F.lit(6 * BILLION) + F.col("o_orderkey")).alias("a"), (F.lit(3 * BILLION) + F.col("o_custkey")).alias("b")))
+    w = Window.partitionBy(F.floor(F.col("o_custkey") / 50)).orderBy("o_orderkey")
+    return graph.components(m.table("orders").select(F.col("o_orderkey").alias("a"), F.lead("o_orderkey").over(w).alias("b")).where("b is not null"))
 
 
 @query("select edge_type, src, dst, max(confidence)::int as confidence from (select 'OUTPUT_OF' as edge_type, l_partkey as src, l_suppkey as dst, (l_discount * 10000)::int as confidence from lineitem) group by all")
@@ -546,18 +528,52 @@ def _last(cols: str, by: str = "key", where: str = "true") -> str:
     return f"select {by}, {cols} from (select *, row_number() over (partition by {by} order by phys desc, logical desc, actor desc) as n from crdt_log where {where}) where n = 1"
 
 
-@query("select key, sum(c)::bigint as value from (select key, actor, count(*) as c from crdt_log group by all) group by key", "crdt_log")
+_SIDES = "greatest(count(*) filter (logical % 3 <> 0 and {0}), count(*) filter (logical % 3 <> 1 and {0}))"
+
+
+@query(f"select key, sum(c)::bigint as value from (select key, actor, {_SIDES.format('true')} as c from crdt_log group by all) group by key", "crdt_log")
 def crdt_gcounter(m):
+    """Two replicas, each without a third of the log: neither holds the other."""
     log = m.crdt_log()
-    a, b = crdt.gcounter_state(log), crdt.gcounter_state(log.where("logical % 2 = 0"))
-    return crdt.gcounter_value(crdt.gcounter_merge(a, b))
+    return crdt.gcounter_value(crdt.gcounter_merge(*(crdt.gcounter_state(log.where(f"logical % 3 <> {i}")) for i in (0, 1))))
 
 
-@query("select actor as key, (count(*) filter (key = 'purchase') - count(*) filter (key = 'error'))::bigint as value from crdt_log group by actor", "crdt_log")
+@query(f"select k as key, (sum(p) - sum(n))::bigint as value from (select k, actor, {_SIDES.format("key = 'purchase'")} as p, {_SIDES.format("key = 'error'")} as n from crdt_log group by all) group by k", "crdt_log")
 def crdt_pncounter(m):
-    log = m.crdt_log().select("phys", "logical", F.col("key").alias("kind"), F.col("actor").alias("key"), F.lit(1).alias("actor"))
-    s = crdt.pncounter_state(log, F.col("kind") == "purchase", F.col("kind") == "error")
-    return crdt.pncounter_value(crdt.pncounter_merge(s, s))
+    log = m.crdt_log().select("phys", "logical", F.col("key").alias("kind"), F.col("k").alias("key"), "actor")
+    return crdt.pncounter_value(crdt.pncounter_merge(*(crdt.pncounter_state(log.where(f"logical % 3 <> {i}"), F.col("kind") == "purchase", F.col("kind") == "error") for i in (0, 1))))
+
+
+@query("select distinct actor as key, k as element from crdt_log where key = 'signup' and not (logical % 3 = 0 or logical % 7 = 1)", "crdt_log")
+def crdt_orset_dots(m):
+    """Each signup adds its element by a dot of its own; the removals of two replicas tell the dots that they have seen."""
+    dots = m.crdt_log().where("key = 'signup'").select(F.col("actor").alias("key"), F.col("k").alias("element"), "actor", F.col("logical").alias("counter"))
+    return crdt.orset_dots(dots, dots.where("counter % 3 = 0").unionByName(dots.where("counter % 7 = 1")))
+
+
+@query("""with n as (select *, case when logical % 4 = 0 then phys - 3600000000 end as seen, row_number() over (partition by key, actor order by phys desc, logical desc) as n from crdt_log),
+    l as (select * from n where n = 1), h as (select key, max(seen) as h from l group by key)
+    select l.key, l.actor, l.value from l join h using (key) where l.phys > h.h or h.h is null""", "crdt_log")
+def crdt_mvreg_contexts(m):
+    """Every fourth write has seen all that were an hour old."""
+    return crdt.mvreg(m.crdt_log(), "value", F.when(F.col("logical") % 4 == 0, F.col("phys") - 3_600_000_000))
+
+
+_KINDS = "case key when 'click' then 'gcounter' when 'error' then 'flagset' when 'purchase' then 'lww' when 'signup' then 'mvreg' else 'orset' end"
+
+
+@query(f"""with s as (select actor as key, key as field, {_KINDS} as kind, phys, logical, actor, k from crdt_log),
+    c as (select key, field, kind, count(*) as number from s where kind = 'gcounter' group by all),
+    o as (select *, case kind when 'orset' then k when 'mvreg' then logical % 2 end as slot from s where kind <> 'gcounter'),
+    l as (select key, field, kind, slot, max_by(k, (phys, logical)) as number, max_by(logical, (phys, logical)) as last from o group by all)
+    select key, field, kind, null::bigint as slot, number from c union all select key, field, kind, slot, number from l where not (kind = 'orset' and last % 4 = 3)""", "crdt_log")
+def crdt_merge_kinds(m):
+    """Stores of two replicas, whose fields are of five kinds, merged by kind; a third of the log both have."""
+    kind = F.expr(_KINDS)
+    log = m.crdt_log().select(F.col("actor").alias("key"), F.col("key").alias("field"), kind.alias("kind"), "phys", "logical", F.when(kind == "gcounter", F.col("actor")).when(kind == "mvreg", F.col("logical") % 2).alias("actor"), F.when(kind == "orset", F.col("k")).alias("element"), F.col("k").alias("number"), ((kind == "orset") & (F.col("logical") % 4 == 3)).alias("removed"))
+    whole = crdt.kind_state(log)
+    part = lambda i: crdt.kind_state(log.where(f"kind <> 'gcounter' and logical % 3 <> {i}")).unionByName(whole.where("kind = 'gcounter'"))
+    return crdt.kind_view(crdt.merge_by_kind(part(0), part(1))).select("key", "field", "kind", "slot", "number")
 
 
 @query(_last("phys, logical, actor, value"), "crdt_log")
@@ -669,6 +685,27 @@ def planner_rank(m):
     return d.select("gap_id", "kind", F.round(utility(F.col("kind"), F.col("priority"), F.col("n"), 5000), 6).alias("utility"))
 
 
+_UTILITY = "round(greatest(doc_id % 256, 1) / 255.0::double * k.q * (1 + least(0.05 * 4, 1)) / (k.c + 0.5), 9)"
+
+
+@query(f"""with u as (select doc_id // 8 as goal, doc_id as gap_id, k.kind, {_UTILITY} as utility from documents join (values (0, 'DEFINITION', 0.8::double, 1.0::double), (1, 'FACT', 0.9, 1.0), (2, 'CAUSAL_CHAIN', 0.75, 2.0), (3, 'EVIDENCE', 1.0, 1.2),
+    (4, 'COUNTEREXAMPLE', 0.95, 1.5), (5, 'CONSTRAINTS', 0.85, 1.2), (6, 'COMPARISON_AXIS', 0.7, 1.5), (7, 'PROCEDURE', 0.65, 2.0)) as k(i, kind, q, c) on doc_id % 8 = k.i where doc_id % 5 <> 0)
+    select goal, gap_id, kind, round(utility, 6)::double as utility from u qualify row_number() over (partition by goal order by utility desc, gap_id) <= 3""")
+def planner_budget(m):
+    """The plan of each goal of up to eight gaps, those met left out, within three actions."""
+    import pandas as pd
+
+    from .plans.planner import KINDS, plan
+
+    def one(key, pdf):
+        gaps = [{"id": i, "kind": KINDS[i % 8], "priority": i % 256, "covered": i % 5 == 0} for i in pdf["doc_id"].tolist()]
+        found = plan(gaps, 4, 5000, max_actions=3)
+        return pd.DataFrame({"goal": key[0], "gap_id": [a.gap_id for a in found], "kind": [a.kind for a in found], "utility": [round(a.utility, 6) for a in found]})
+
+    d = m.table("documents").select("doc_id", F.floor(F.col("doc_id") / 8).alias("goal"))
+    return d.groupBy("goal").applyInPandas(one, "goal bigint, gap_id bigint, kind string, utility double")
+
+
 # --- invariants
 
 QC = I.Constraints(time_from=EPOCH + 5 * DAY, time_to=EPOCH + 25 * DAY, trust_min=4000, domain_mask=7, sources=tuple(range(15)))
@@ -713,6 +750,21 @@ def invariant_conflict_probe(m):
     return I.probe(m.active_claims(), sets).select("event_id", "result")
 
 
+@query("""with a as (select o_orderkey as atom_id, 7000 + o_custkey % 4 * 1000 as trust, o_orderkey % 4 as domain, min(l_partkey) as part, count(*) % 2 as tag from orders join lineitem on o_orderkey = l_orderkey group by all)
+    select atom_id, case when part not between 10 and 1500 or tag <> 1 then 'NEED_BRANCH' when trust < 8000 then 'FAIL_HARD' when domain & 1 = 0 then 'FAIL_SOFT' when part in (11, 12, 13) then 'FAIL_HARD' when part in (14, 15, 16) then 'NEED_BRANCH' else 'PASS' end as result,
+    case when part not between 10 and 1500 or tag <> 1 then 'CONFLICT_FOUND' when trust < 8000 or domain & 1 = 0 then '' when part between 11 and 16 then 'CONFLICT_FOUND' else '' end as reason from a""")
+def invariant_claims(m):
+    """A program with a subroutine, over atoms with claims, in a context, against known conflicts: all that the checks above don't run."""
+    b = I.Builder().emit("LD_CLAIM", 1, 3 << 16 | 1).emit("IN_RANGE", 1, imm=1500 << 32 | 10).jump("JZ", "branch", 1).emit("LD_CLAIM", 2, 2 << 16 | 1).emit("IS_TAG", 2, imm=1).jump("JZ", "branch", 2)
+    b.jump("CALL", "trusted").jump("JZ", "bad", 4).emit("LD_ATOM_META", 5, 4).emit("HAS_BIT", 5, imm=0).emit("LD_CTX", 6, 1).emit("LD_IMM", 7, imm=5).emit("EQ", 6, 7).emit("AND", 5, 6).emit("NOT", 5).emit("LD_IMM", 7, imm=I.U64).emit("EQ", 5, 7).jump("JNZ", "soft", 5)
+    b.emit("LD_CLAIM", 1, 3 << 16 | 1).emit("CTX_PROBE", 1).jump("JMP", "good").label("trusted").emit("LD_ATOM_META", 3, 3).emit("LD_QC", 4, 2).emit("LE", 4, 3).emit("RET", 1)
+    program = b.label("good").emit("RET", 0).label("soft").emit("RET", 2).label("bad").emit("RET", 1).label("branch").emit("RAISE_CONFLICT", 0, imm=1).build()
+    lines = m.table("lineitem").groupBy("l_orderkey").agg(F.min("l_partkey").alias("part"), (F.count("*") % 2).alias("tag"))
+    claim = F.struct(F.col("o_orderkey").alias("subj"), F.lit(5).cast("bigint").alias("pred"), F.col("tag").alias("tag"), F.col("part").alias("value"), F.lit(0).cast("bigint").alias("qualifiers"))
+    a = m.table("orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_orderkey").alias("atom_id"), F.lit(0).alias("valid_from"), F.lit(None).cast("bigint").alias("valid_to"), (7000 + F.col("o_custkey") % 4 * 1000).alias("trust"), (F.col("o_orderkey") % 4).alias("domain_mask"), F.lit(0).alias("source_id"), F.array(claim).alias("claims"))
+    return I.evaluate(a, program, I.Constraints(trust_min=8000), vm=True, conflicts={11: "hard", 12: "hard", 13: "hard", 14: "soft", 15: "soft", 16: "soft"}, ctx=(0, 5, 0)).select(F.col("atom_id").cast("bigint").alias("atom_id"), "result", "reason")
+
+
 # --- text extraction
 
 _SEG = r"""s0 as (select conv_id * 1000 + turn as id, regexp_split_to_array(text, '[.\n]') as parts from conversations),
@@ -763,11 +815,43 @@ def setcover_greedy(m):
     return setcover.solve_many(li)
 
 
-@query()
+# both gaps of a lookup are met by any of its atoms, so the cheapest one is the proof
+@query("""select atom_id, node_num, trust, '0,1' as gaps from atoms where node_num in (select node_num from postings where term in ('the', 'of') group by node_num having count(distinct term) = 2)
+    and domain_mask & 1 <> 0 and trust >= 5000 order by io_bytes * 0.001 + 10 * (10000 / trust) + 1, atom_id limit 1""", "atoms", "postings")
 def answer_lookup(m):
     from .plans.solver import answer_lookup as run
 
-    return run(m, TERMS)
+    return run(m, TERMS).withColumn("gaps", F.array_join(F.col("gaps").cast("array<string>"), ","))
+
+
+_FACTS = """facts as (select * from claims where subj = 6000000001 or subj in (select obj from claims where subj = 6000000001)
+    or subj in (select obj from claims where subj in (select obj from claims where subj = 6000000001)))"""
+_F1 = _RULE1.replace("claims", "facts")
+
+
+@query(f"""with {_FACTS}, d1 as (select distinct subj, pred, obj from ({_F1})),
+    e as (select subj, pred, obj, trust, 0 as d from facts where pred in (2, 3, 5, 7) union all select subj, pred, obj, 5000, 1 from d1),
+    x as (select a.subj, a.pred, b.obj, {_damp('a.trust', 'b.trust', 0.64)} as trust, a.obj as via from e a join e b on a.obj = b.subj and a.pred = b.pred where a.subj <> b.obj and a.d + b.d > 0),
+    y as (select * from x where not exists (select 1 from d1 where d1.subj = x.subj and d1.pred = x.pred and d1.obj = x.obj)),
+    z as (select 1 as rule, {_PICK.format(_F1)} union all select 4, {_PICK.format('select * from y')} union all
+    select 3, {_PICK.format(f"select a.subj, 8 as pred, b.obj, {_damp('a.trust', 'b.trust', 0.6)} as trust, a.obj as via from facts a join facts b on a.obj = b.subj where a.pred = 8 and b.pred = 5 and a.subj <> b.obj")})
+    select rule, subj, pred, obj, trust, via from z where subj = 6000000001""", "claims")
+def solve_inferred(m):
+    """What the answer about an order infers, by rules 1, 3 and 4."""
+    from .plans.solver import answer_node
+
+    found = answer_node(m, 6 * BILLION + 1).inferred
+    return m.spark.createDataFrame([(c["rule"], c["subj"], c["pred"], c["obj"], c["trust"], c["via"]) for c in found], "rule int, subj bigint, pred int, obj bigint, trust int, via bigint")
+
+
+@query("""select subj, pred, obj, subj || ' has ' || least_obj || ' for ' || pred as reason from (select *, min(obj) over (partition by subj, pred) as least_obj from claims where subj = 6000000001)
+    where obj <> least_obj order by subj, pred, obj limit 3""", "claims")
+def solve_branch(m):
+    """The branches that conflicting claims about an order open, three at most."""
+    from .plans.solver import answer_node
+
+    found = answer_node(m, 6 * BILLION + 1, max_context_branches=3).branches
+    return m.spark.createDataFrame([(c["subj"], c["pred"], c["obj"], c["reason"]) for c in found], "subj bigint, pred int, obj bigint, reason string")
 
 
 # --- federation
@@ -844,9 +928,10 @@ def find_metadata(m):
     return registry.find_by(registry.metadata_fields(m.atoms(), "atom_id", "trust", "domain_mask", "valid_to"), kind=["trust", "valid_to"])
 
 
-@query("select source_id, count(*) as n_atoms, min(trust)::int as least_trust from atoms group by source_id", "atoms")
+@query("select source as label, max(doc_id) as at, arg_max(lang, doc_id) as kind from documents group by source")
 def list_sources(m):
-    return m.atoms().groupBy("source_id").agg(F.count("*").alias("n_atoms"), F.min("trust").alias("least_trust"))
+    """Every document registers its source once more, as of its language; the last one counts."""
+    return registry.latest(m.table("documents").select(F.col("source").alias("label"), F.col("lang").alias("kind"), F.col("doc_id").alias("at")), "label")
 
 
 _ENTITIES = """(select 3000000000 + c_custkey as entity_id, c_name as canonical_name, 'customer' as entity_type, c_mktsegment as alias from customer
@@ -877,9 +962,9 @@ def resolve_entity(m):
     return registry.resolve(_entities(m)[0], "CUSTOMER#000000007", "canonical_name", "entity_type").select("entity_id", "canonical_name")
 
 
-@query("select pred as predicate_id, count(*) as n_claims, count(distinct subj) as n_subjects from claims group by pred", "claims")
+@query("select p_partkey % 100 as predicate_id, max(p_partkey) as at, arg_max(p_brand, p_partkey) as stable_key, arg_max(p_name, p_partkey) as canonical_name from part group by 1")
 def list_predicates(m):
-    return m.claims().groupBy(F.col("pred").alias("predicate_id")).agg(F.count("*").alias("n_claims"), F.count_distinct("subj").alias("n_subjects"))
+    return registry.latest(m.table("part").select((F.col("p_partkey") % 100).alias("predicate_id"), F.col("p_brand").alias("stable_key"), F.col("p_name").alias("canonical_name"), F.col("p_partkey").alias("at")), "predicate_id")
 
 
 @query("""with d as (select src, dst from edges where edge_type = 'DERIVED_FROM'),
@@ -949,12 +1034,10 @@ def cost_efficiency(m):
 
 @query()
 def search_semantic_ann(m):
-    """The queries of search_semantic_topk_all, every row, over an index in the shared folder."""
-    import uuid
-
+    """The queries of search_semantic_topk over an index in the shared folder."""
     from .operators import ann
-    from .sources.shared import shared_dir
+    from .sources.shared import new_table
 
-    path = f"{shared_dir(m.spark)}/ann-{uuid.uuid4().hex}"
+    path = new_table(m.spark, "ann")
     centroids = ann.build(m.embeddings(), path)
-    return ann.search_all(m.spark, path, centroids, m.embeddings())
+    return ann.search_all(m.spark, path, centroids, m.embeddings(), every=EVERY)

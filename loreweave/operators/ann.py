@@ -98,8 +98,8 @@ def audited_probes(vectors: DataFrame, table: DataFrame, centroids: np.ndarray,
         probes *= 2
 
 
-def search_all(spark: SparkSession, path: str, centroids: np.ndarray, vectors: DataFrame, k: int = TOP, probes: int | None = None) -> DataFrame:
-    """(query_id, node_num, trust, score, rank) of every row of ``vectors``, which the index at ``path`` holds; without ``probes``, as many as the audit asks for."""
+def search_all(spark: SparkSession, path: str, centroids: np.ndarray, vectors: DataFrame, k: int = TOP, probes: int | None = None, every: int = 1) -> DataFrame:
+    """(query_id, node_num, trust, score, rank) of every row of ``vectors`` whose vec_id is divisible by ``every``, which the index at ``path`` holds; without ``probes``, as many as the audit asks for."""
     if not len(centroids):
         return ranked(spark.createDataFrame([], HITS), k, "cosine")
     table = whole_vectors(spark.read.parquet(path))
@@ -115,8 +115,8 @@ def search_all(spark: SparkSession, path: str, centroids: np.ndarray, vectors: D
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(near.astype(np.int32).tolist(), pa.list_(pa.int32()))], ["query_id", "query", "cells"])
 
     block = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    asked = table.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")).mapInArrow(cells, "query_id bigint, query array<float>, cells array<int>")
-    left = asked.select(F.explode("cells").alias("cell"), "query_id", "query").select("cell", block("query_id", n_q).alias("qb"), every(n_o).alias("ob"), "query_id", "query").groupBy("cell", "qb", "ob")
-    right = table.select("cell", every(n_q).alias("qb"), block("node_num", n_o).alias("ob"), "node_num", "trust", "embedding").groupBy("cell", "qb", "ob")
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = table.where(F.pmod("vec_id", F.lit(every)) == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")).mapInArrow(cells, "query_id bigint, query array<float>, cells array<int>")
+    left = asked.select(F.explode("cells").alias("cell"), "query_id", "query").select("cell", block("query_id", n_q).alias("qb"), spread(n_o).alias("ob"), "query_id", "query").groupBy("cell", "qb", "ob")
+    right = table.select("cell", spread(n_q).alias("qb"), block("node_num", n_o).alias("ob"), "node_num", "trust", "embedding").groupBy("cell", "qb", "ob")
     return ranked(left.cogroup(right).applyInArrow(_block(k, "cosine"), HITS), k, "cosine")

@@ -73,3 +73,8 @@ def quantified(results: Column, ids: list[str], kind: str, n: int = 0) -> Column
 def context_allowed(branch: Column, allowed: list[int], include_conflicting: bool = False) -> Column:
     """Candidates of no branch, or of one that the contract allows."""
     return F.lit(True) if include_conflicting else branch.isNull() | branch.isin(*allowed) if allowed else branch.isNull()
+
+
+def latest(atoms: DataFrame, scope: Any) -> DataFrame:
+    """The newest atoms that a temporal scope asks for, ties to the least id; all where it doesn't."""
+    return atoms if scope.latest is None else atoms.orderBy(F.desc("created_at"), "atom_id").limit(scope.latest)

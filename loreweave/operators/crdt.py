@@ -97,6 +97,39 @@ def merge_stores(a: DataFrame, b: DataFrame) -> DataFrame:
     return both.groupBy("key", "field").agg(F.max_by(F.struct(*cols), clock("actor")).alias("v")).select("key", "field", "v.*")
 
 
+#: Kinds of replicated states: what tells their parts apart.
+COUNTERS, BY_ACTOR, BY_ELEMENT, WHOLE = ("gcounter", "pncounter"), ("mvreg",), ("orset", "ormap"), ("lww", "flagset")
+
+
+def kind_state(log: DataFrame) -> DataFrame:
+    """A log (key, field, kind, actor, element, phys, logical, number, removed) as states of its kinds: counters count their operations."""
+    count = F.col("kind").isin(*COUNTERS)
+    counted = log.where(count).groupBy("key", "field", "kind", "actor").agg(F.max("element").alias("element"), F.max("phys").alias("phys"), F.max("logical").alias("logical"), F.count("*").alias("number"), F.lit(False).alias("removed"))
+    return _by_kind(log.where(~count)).unionByName(counted)
+
+
+def _by_kind(states: DataFrame) -> DataFrame:
+    slot = F.when(F.col("kind").isin(*COUNTERS, *BY_ACTOR), F.col("actor")).when(F.col("kind").isin(*BY_ELEMENT), F.col("element"))
+    cols = ["actor", "element", "phys", "logical", "number", "removed"]
+    newest = F.max_by(F.struct(*cols), clock(*["actor"]))
+    g = states.withColumn("slot", slot).groupBy("key", "field", "kind", "slot").agg(newest.alias("v"), F.max("number").alias("most"))
+    return g.select("key", "field", "kind", "v.actor", "v.element", "v.phys", "v.logical", F.when(F.col("kind").isin(*COUNTERS), F.col("most")).otherwise(F.col("v.number")).alias("number"), "v.removed")
+
+
+def merge_by_kind(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Two stores merged, each field by its kind, in one grouped aggregate: counters by the greatest count of an actor,
+    registers with several values by their actors, sets and maps by their elements, others by the last write.
+    """
+    return _by_kind(a.unionByName(b))
+
+
+def kind_view(states: DataFrame) -> DataFrame:
+    """(key, field, kind, slot, number): counters summed, removed elements left out; slot is the actor or element of the others."""
+    count = F.col("kind").isin(*COUNTERS)
+    slot = F.when(F.col("kind").isin(*BY_ACTOR), F.col("actor")).when(F.col("kind").isin(*BY_ELEMENT), F.col("element"))
+    return states.where("not removed").groupBy("key", "field", "kind", F.when(~count, slot).alias("slot")).agg(F.sum("number").alias("number"))
+
+
 def compact(log: DataFrame, snapshot: DataFrame | None, *values: str) -> DataFrame:
     """Log and snapshot replayed into a new snapshot."""
     new = lww(log, *values)

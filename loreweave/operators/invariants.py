@@ -246,19 +246,30 @@ def check_columns(program: list[Op], qc: Constraints) -> Column | None:
     return out
 
 
-def evaluate(atoms: DataFrame, program: list[Op], qc: Constraints, vm: bool = False) -> DataFrame:
-    """(atom_id, result, reason) of each atom; ``vm`` forces the interpreter."""
+def evaluate(atoms: DataFrame, program: list[Op], qc: Constraints, vm: bool = False, conflicts: dict[int, str] | None = None, ctx: tuple[int, ...] = (0, 0, 0)) -> DataFrame:
+    """(atom_id, result, reason) of each atom; ``vm`` forces the interpreter.
+
+    The interpreter also reads an atom's ``claims`` (subj, pred, tag, value, qualifiers), where there is such a column, and
+    its own ``program`` (code, a, b, imm) in place of the one given; ``conflicts`` has severities by pattern hash.
+    """
     column = None if vm else check_columns(program, qc)
     if column is not None:
         return atoms.select("atom_id", column.alias("v")).select("atom_id", "v.result", "v.reason")
     names = ["atom_id", "valid_from", "valid_to", "trust", "domain_mask", "source_id"]
+    more = [c for c in ("claims", "program") if c in atoms.columns]
 
     def interpret(batches: Any) -> Any:
         for batch in batches:
-            out = [run(program, Atom(f, t, 0, u or 0, d or 0, s or 0), qc) for f, t, u, d, s in zip(*(batch.column(i).to_pylist() for i in range(1, 6)))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.string())], ["atom_id", "result", "reason"])
-
-    return atoms.select(*names).mapInArrow(interpret, "atom_id string, result string, reason string")
+            column = {c: batch.column(i).to_pylist() for i, c in enumerate([*names, *more])}
+            out = []
+            for i in range(batch.num_rows):
+                f, t, u, d, s = (column[c][i] for c in names[1:])
+                claims = [tuple(c.values()) for c in column["claims"][i] or []] if "claims" in column else []
+                own = [Op(**o) for o in column["program"][i]] if column.get("program") and column["program"][i] is not None else program
+                out.append(run(own, Atom(f, t, 0, u or 0, d or 0, s or 0, claims), qc, conflicts, ctx))
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.string())], ["atom_id", "result", "reason"])
+
+    return atoms.select(*names, *more).mapInArrow(interpret, "atom_id string, result string, reason string")
 
 
 def probe(claims: DataFrame, conflicts: DataFrame) -> DataFrame:

@@ -104,19 +104,40 @@ def ranked(found: DataFrame, k: int, by: str) -> DataFrame:
 
 
 def semantic_top_all(vectors: DataFrame, queries: DataFrame | None = None, k: int = TOP, by: str = "cosine", block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """semantic_top for many queries: by default every row (by vec_id) is one. Blocks of rows meet pairwise, and each hands on k rows a query.
+    """semantic_top for many queries: by default every row (by vec_id) is one.
 
-    Null vectors and vectors with null elements are neither queries nor hits.
+    The rows stay where they are; each task reads the queries, a block at a time, from the shared folder and hands on
+    k rows a query and block of its own. Null vectors and vectors with null elements are neither queries nor hits.
     """
+    from ..sources.shared import new_table, read_blocks
+
     if queries is None:
         queries = vectors.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-    rows, asked = whole_vectors(vectors), whole_vectors(queries.withColumnRenamed("query", "embedding")).withColumnRenamed("embedding", "query")
-    n_o, n_q = (max(1, -(-x.count() // block_rows)) for x in (rows, asked))
-    block = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = asked.select(block("query_id", n_q).alias("qb"), every(n_o).alias("ob"), "query_id", "query").groupBy("qb", "ob")
-    right = rows.select(every(n_q).alias("qb"), block("node_num", n_o).alias("ob"), "node_num", "trust", "embedding").groupBy("qb", "ob")
-    return ranked(left.cogroup(right).applyInArrow(_block(k, by), HITS), k, by)
+    path = new_table(vectors.sparkSession, "queries")
+    whole_vectors(queries.withColumnRenamed("query", "embedding")).withColumnRenamed("embedding", "query").select("query_id", "query").write.parquet(path)
+    score = _block(k, by)
+
+    def run(batches):
+        for own in in_blocks(batches, block_rows):
+            for asked in read_blocks(path, block_rows):
+                yield from score(asked, own).to_batches()
+
+    return ranked(whole_vectors(vectors).select("node_num", "trust", "embedding").mapInArrow(run, HITS), k, by)
+
+
+def in_blocks(batches, rows: int):
+    """A task's batches as tables of so many rows."""
+    held, n = [], 0
+    for batch in batches:
+        while batch.num_rows:
+            take = min(rows - n, batch.num_rows)
+            held.append(batch.slice(0, take))
+            n, batch = n + take, batch.slice(take)
+            if n == rows:
+                yield pa.Table.from_batches(held)
+                held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held)
 
 
 def _block(k: int, by: str):

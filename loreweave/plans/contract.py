@@ -137,6 +137,10 @@ class Contract:
             out |= t.domain_mask or 0
         return out
 
+    def trust_min(self) -> int:
+        """The trust that every must-constraint on it asks for at least."""
+        return max([int(c.value) for c in self.by_strength("must") if c.target == "trust" and c.operator == "gte"], default=0)
+
     def validate(self) -> None:
         if self.intent not in INTENTS:
             raise ContractError("unknown intent")
@@ -149,6 +153,12 @@ class Contract:
             raise ContractError("duplicate constraint id")
         if any(not 0 <= c.weight <= 1 for c in self.by_strength("should")):
             raise ContractError("should weight out of range")
+        if any(set(r) - {"subject", "predicate", "object"} or not set(r) for r in self.relations):
+            raise ContractError("a relation has subject, predicate and object")
+        if any(q.kind not in ("all", "any", "at_least", "exactly") for q in self.quantifiers):
+            raise ContractError("unknown quantifier")
+        if self.context.policy_id is not None:
+            raise ContractError("context policies aren't supported")
         if any(i not in ids for q in self.quantifiers for i in q.constraint_ids):
             raise ContractError("unknown constraint in a quantifier")
         if len(self.targets) > MAX_TARGETS or len(self.constraints) > MAX_CONSTRAINTS:
@@ -172,7 +182,7 @@ class Contract:
             for kind, value in (("atom", t.atom_id), ("node", t.node_id), ("term", t.term_id), ("sym", t.symbol_id)):
                 if value is not None:
                     refs.append((kind, value))
-        return Goal(self.intent, refs, self.temporal.time_range(), self.domain_mask(), self.semantic_vectors, self.constraints + self.temporal.constraints(), self.context, self.policies.include_conflicts, self.temporal.latest)
+        return Goal(self.intent, refs, self.temporal.time_range(), self.domain_mask(), self.semantic_vectors, self.constraints + self.temporal.constraints(), self.context, self.policies.include_conflicts, self.temporal.latest, self.trust_min())
 
 
 @dataclass
