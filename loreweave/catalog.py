@@ -883,6 +883,34 @@ def federated_discover(m):
     return federation.discover(m.shards(), m.occurrences(), federation.DiscoverRequest(tuple(TERMS)))
 
 
+@query("""select distinct s.shard_id, s.node_num, h.relevance, w.hops, least(s.trust, w.bound) as path_trust
+    from shards s join (select node_num, count(distinct term) / 2 as relevance from postings where term in ('the', 'of') group by node_num) h using (node_num)
+    join (values (0, 0, 10000), (1, 1, 6000), (2, 2, 3000)) as w(shard_id, hops, bound) on w.shard_id = s.shard_id where least(s.trust, w.bound) >= 1000 and s.domain_mask & 3 <> 0 and s.created_at >= 1704326400 and s.created_at < 1705708800""", "shards", "postings")
+def federated_hops(m):
+    """Forwarded from base to base, over two hops of a chain of three, within a domain and a time."""
+    req = federation.DiscoverRequest(tuple(TERMS), domain_mask=3, created_from=EPOCH + 3 * DAY, created_to=EPOCH + 19 * DAY, max_hops=2)
+    return federation.discover(m.shards(), m.occurrences(), req, [(0, 1, 6000), (1, 2, 3000), (2, 3, 9000), (1, 0, 9000), (0, 3, 50)])
+
+
+@query("select l_orderkey, round(sum(l_discount), 6)::double as weight from lineitem group by l_orderkey")
+def evidence_weights(m):
+    """The lines of an order as evidence for a mapping."""
+    e = m.table("lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct(F.col("l_discount").alias("weight"))).alias("evidence"))
+    return e.select("l_orderkey", F.round(federation.evidence_weight(F.col("evidence")), 6).alias("weight"))
+
+
+@query("""with d as (select src, dst, confidence from edges where edge_type = 'DERIVED_FROM'), a as (select c_custkey + 3000000000 as node, 1000 + c_custkey % 9 * 1000 as trust from customer),
+    p1 as (select 6000000000 + o_orderkey as node, d.dst as origin, 1 as depth, least(9000, d.confidence, coalesce(a.trust, d.confidence)) as trust from orders join d on d.src = 6000000000 + o_orderkey left join a on a.node = d.dst),
+    p2 as (select p1.node, d.dst as origin, 2 as depth, max(least(p1.trust, d.confidence)) as trust from p1 join d on d.src = p1.origin group by all),
+    p3 as (select p2.node, d.dst as origin, 3 as depth, max(least(p2.trust, d.confidence)) as trust from p2 join d on d.src = p2.origin group by all)
+    select node, node as origin, 0 as depth, 9000 as trust from (select 6000000000 + o_orderkey as node from orders) union all select * from p1 union all select * from p2 union all select * from p3""", "edges")
+def provenance_trust(m):
+    """Chains of orders, with the trust of each path; customers are atoms with a trust of their own."""
+    start = m.table("orders").select((F.lit(6 * BILLION) + F.col("o_orderkey")).alias("node"), F.lit(9000).alias("trust"))
+    atoms = m.table("customer").select((F.lit(3 * BILLION) + F.col("c_custkey")).alias("node_num"), (1000 + F.col("c_custkey") % 9 * 1000).cast("int").alias("trust"))
+    return registry.provenance_chain(m.current_edges(), start, m.claims(), atoms, 3).select("node", "origin", "depth", F.col("trust").cast("int").alias("trust"))
+
+
 @query(f"select atom_id, trust from atoms where node_num - 7000000000 in (select remote_id from mappings where {_trust(_FAIL)} = 'acceptable')", "atoms", "mappings")
 def fetch_trusted(m):
     a = m.atoms().withColumn("remote_id", F.col("node_num") - 7 * BILLION)

@@ -82,31 +82,63 @@ class DiscoverRequest:
     max_hops: int = 3
     local_shard: int = 0
     visited: tuple[int, ...] = field(default_factory=tuple)
+    types: tuple[str, ...] = ()
+    ids: tuple[str, ...] = ()
 
 
-def discover(shards: DataFrame, postings: DataFrame, req: DiscoverRequest) -> DataFrame:
+def routes(peers: list[tuple[int, int, int]], req: DiscoverRequest) -> list[tuple[int, int, int]]:
+    """(shard, hops, trust) of every base that requests are forwarded to, over peers (base, peer, trust), which are configured by hand.
+
+    A request goes on for ``max_hops`` steps, to no base twice, to no visited one and to no peer below a trust of 100; of
+    several ways with the fewest steps, the one whose least trusted peer is trusted most.
+    """
+    out, level = {req.local_shard: (0, 10_000)}, {req.local_shard: 10_000}
+    for hops in range(1, req.max_hops + 1):
+        new: dict[int, int] = {}
+        for base, peer, trust in peers:
+            if base in level and peer not in out and peer not in req.visited and trust >= 100:
+                new[peer] = max(new.get(peer, 0), min(level[base], trust))
+        out |= {k: (hops, v) for k, v in new.items()}
+        level = new
+    return [(k, *v) for k, v in sorted(out.items())]
+
+
+def discover(shards: DataFrame, postings: DataFrame, req: DiscoverRequest, peers: list[tuple[int, int, int]] | None = None) -> DataFrame:
     """(shard_id, node_num, relevance, hops, path_trust): atoms with any of the terms, relevance the share of them.
 
-    The local shard is at hop 0, peers at 1 with their trust as a bound; peers below a trust of 100,
-    and those visited, aren't asked. Order: relevance, then path trust, both falling.
+    The local shard is at hop 0. Without ``peers``, every other shard is a peer of it at hop 1, with its trust as a bound; with
+    them, requests are forwarded along ``routes``. Peers below a trust of 100, and those visited, aren't asked.
+    Order: relevance, then path trust, both falling.
     """
     n = len(set(req.terms))
     hits = postings.where(F.col("term").isin(*req.terms)).groupBy("node_num").agg((F.count_distinct("term") / n).alias("relevance"))
-    s = shards.where((F.col("shard_id") == req.local_shard) | (F.col("shard_trust") >= 100))
-    if req.visited:
-        s = s.where(~F.col("shard_id").isin(*req.visited))
-    if req.max_hops < 1:
-        s = s.where(F.col("shard_id") == req.local_shard)
+    local = F.col("shard_id") == req.local_shard
+    if peers is None:
+        s = shards.where(local | (F.col("shard_trust") >= 100)).withColumns({"hops": F.when(local, 0).otherwise(1), "bound": F.when(~local, F.col("shard_trust"))})
+        if req.visited:
+            s = s.where(~F.col("shard_id").isin(*req.visited))
+        if req.max_hops < 1:
+            s = s.where(local)
+    else:
+        way = F.create_map(*[x for shard, hops, trust in routes(peers, req) for x in (F.lit(shard), F.struct(F.lit(hops).alias("hops"), F.lit(trust).alias("trust")))])
+        s = shards.withColumn("way", F.try_element_at(way, F.col("shard_id").cast("int"))).where("way is not null").withColumns({"hops": F.col("way.hops"), "bound": F.col("way.trust")})
     if req.domain_mask:
         s = s.where(F.col("domain_mask").bitwiseAND(F.lit(req.domain_mask).cast("bigint")) != 0)
     if req.created_from is not None:
         s = s.where((F.col("created_at") >= req.created_from) & (F.col("created_at") < req.created_to))
-    local = F.col("shard_id") == req.local_shard
-    path = F.when(local, F.col("trust")).otherwise(F.least("trust", "shard_trust"))
-    found = s.join(hits, "node_num").select("shard_id", "node_num", "relevance", F.when(local, 0).otherwise(1).alias("hops"), path.alias("path_trust"))
+    if req.types:
+        s = s.where(F.col("atom_type").isin(*req.types))
+    if req.ids:
+        s = s.where(F.col("atom_id").isin(*req.ids))
+    found = s.join(hits, "node_num").select("shard_id", "node_num", "relevance", "hops", F.least("trust", F.coalesce("bound", F.col("trust"))).alias("path_trust"))
     return found.where(F.col("path_trust") >= req.min_trust).distinct()
 
 
+def evidence_weight(evidence: Column) -> Column:
+    """The sum of the weights of a mapping's evidence, an array of structs; 0 without any."""
+    return F.coalesce(F.aggregate(evidence, F.lit(0.0), lambda a, e: a + e["weight"].cast("double")), F.lit(0.0))
+
+
 def ranked(found: DataFrame) -> DataFrame:
     return found.orderBy(F.desc("relevance"), F.desc("path_trust"), "node_num")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.shared import once
+from ..sources.shared import cut, once
 
 
 def latest(table: DataFrame, key: str, order: str = "at") -> DataFrame:
@@ -48,16 +48,44 @@ def resolve(table: DataFrame, name: str, *columns: str) -> DataFrame:
 
 
 def provenance(edges: DataFrame, start: DataFrame, depth: int = 4) -> DataFrame:
-    """(node, origin, depth): what each node (node) derives from, step by step along DERIVED_FROM edges; least depth of each pair."""
+    """(node, origin, depth): what each node (node) derives from, step by step along DERIVED_FROM edges; least depth of each pair.
+
+    A pair is followed once, so cycles end; each level is written once.
+    """
     e = edges.where("edge_type = 'DERIVED_FROM'").select(F.col("src").alias("at"), F.col("dst").alias("next"))
     e = once(e) if depth > 1 else e
     level = start.select("node", F.col("node").alias("at"))
     out = None
     for d in range(1, depth + 1):
-        level = level.join(e, "at").select("node", F.col("next").alias("at")).distinct()
-        one = level.select("node", F.col("at").alias("origin"), F.lit(d).alias("depth"))
+        one = level.join(e, "at").select("node", F.col("next").alias("origin")).distinct()
+        if out is not None:
+            one = one.join(out, ["node", "origin"], "left_anti")
+        one = cut(one.withColumn("depth", F.lit(d)))
         out = one if out is None else out.unionByName(one)
-    return out.groupBy("node", "origin").agg(F.min("depth").alias("depth"))
+        if one.isEmpty():
+            break
+        level = one.select("node", F.col("origin").alias("at"))
+    return out
+
+
+def provenance_chain(edges: DataFrame, start: DataFrame, claims: DataFrame, atoms: DataFrame, depth: int = 4) -> DataFrame:
+    """(node, origin, depth, trust, evidence) of what nodes (node, trust) derive from, themselves at depth 0.
+
+    Trust is that of the best path of least steps: the least of its edges' confidences and of the trust of the atoms on
+    it; evidence are the origin's claims.
+    """
+    e = edges.where("edge_type = 'DERIVED_FROM'").join(atoms.groupBy(F.col("node_num").alias("dst")).agg(F.max("trust").alias("own")), "dst", "left")
+    e = once(e.select(F.col("src").alias("at"), F.col("dst").alias("next"), F.least("confidence", F.coalesce("own", F.col("confidence"))).alias("step")))
+    level = start.select("node", F.col("node").alias("origin"), F.lit(0).alias("depth"), "trust")
+    out = level
+    for d in range(1, depth + 1):
+        step = level.withColumnRenamed("origin", "at").join(e, "at").groupBy("node", F.col("next").alias("origin")).agg(F.max(F.least("trust", "step")).alias("trust"))
+        level = cut(step.join(out, ["node", "origin"], "left_anti").select("node", "origin", F.lit(d).alias("depth"), "trust"))
+        if level.isEmpty():
+            break
+        out = out.unionByName(level)
+    told = claims.groupBy(F.col("subj").alias("origin")).agg(F.array_sort(F.collect_set(F.struct("pred", "obj"))).alias("evidence"))
+    return out.join(told, "origin", "left").select("node", "origin", "depth", "trust", F.coalesce("evidence", F.array().cast("array<struct<pred:bigint,obj:bigint>>")).alias("evidence"))
 
 
 def conflict_status(sets: DataFrame, policy: str = "branch") -> Column:

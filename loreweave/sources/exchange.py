@@ -116,6 +116,23 @@ def import_atoms(atoms: DataFrame, table: str, skip_validation: bool = False) ->
     return bad
 
 
+def from_base(atoms: DataFrame, claims: DataFrame) -> DataFrame:
+    """Stored atoms and their claims (atom_id, subj, pred, obj) in the exchange schema; payloads as base64."""
+    claim = F.struct(F.col("subj").alias("subject"), F.col("pred").alias("predicate"), F.lit(3).alias("object_tag"), F.col("obj").alias("object_value"), F.lit(0).alias("qualifiers"))
+    c = claims.groupBy("atom_id").agg(F.array_sort(F.collect_set(claim)).alias("claims"))
+    meta = F.struct("created_at", F.col("trust").alias("trust_level"), "domain_mask", F.col("source_id").cast("int").alias("source_id"))
+    a = atoms.join(c, "atom_id", "left")
+    return a.select(F.col("atom_id").alias("id"), "atom_type", F.coalesce("claims", F.array().cast(f"array<{CLAIM}>")).alias("claims"), F.array().cast(f"array<{EVIDENCE}>").alias("evidence"), meta.alias("metadata"), F.base64(F.encode("payload", "UTF-8")).alias("payload"))
+
+
+def to_base(atoms: DataFrame) -> DataFrame:
+    """Atoms of the exchange schema as a base takes them; payloads are decoded."""
+    claims = F.transform("claims", lambda c: F.struct(c["subject"].alias("subj"), c["predicate"].alias("pred"), c["object_value"].alias("obj")))
+    text = F.coalesce(F.decode(F.unbase64("payload"), "UTF-8"), F.lit(""))
+    known = lambda field, other: F.coalesce(F.col(f"metadata.{field}"), F.lit(other))
+    return atoms.select(text.alias("payload"), F.upper("atom_type").alias("atom_type"), claims.alias("claims"), known("trust_level", 5000).alias("trust"), known("domain_mask", 0).alias("domain_mask"), F.col("metadata.source_id").alias("source_id"), known("created_at", 0).alias("created_at"), known("created_at", 0).alias("valid_from"))
+
+
 def matches_export_filter(needle: str, *columns: str) -> Column:
     """A substring of any of the columns, whatever its case."""
     out = F.lit(False)

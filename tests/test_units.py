@@ -174,13 +174,11 @@ def test_operations(code, a, b, want):
 # --- vectors
 
 
-def test_approximate_search_recall(spark):
+def test_approximate_search_recall(spark, tmp_path):
     rng = random.Random(3)
     rows = [(i, [rng.gauss(c, 1) for c in ((i % 7) - 3, i % 5, 0, 1, (i % 3) * 2, 0)], 1) for i in range(1500)]
     v = spark.createDataFrame(rows, "node_num bigint, embedding array<float>, trust int")
-    import tempfile
-
-    path = "file://" + tempfile.mkdtemp()
+    path = f"file://{tmp_path}/ann"
     c = ann.build(v, path, cells=32)
     asked = [(i, rows[i * 31][1]) for i in range(20)]
     got = {(r["query_id"], r["node_num"]) for r in ann.search(spark, path, c, asked, probes=12).collect()}
@@ -188,7 +186,7 @@ def test_approximate_search_recall(spark):
     assert len(got & want) >= 0.9 * len(want)
 
 
-def test_every_row_is_a_query(spark, small):
+def test_every_fiftieth_row_is_a_query(spark, small):
     """Approximate search with production parameters, against all cosines."""
     from loreweave import catalog
 
@@ -196,9 +194,9 @@ def test_every_row_is_a_query(spark, small):
     x = np.array([r["embedding"] for r in e], float)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     s = np.round(x @ x.T, 6)
-    want = {(e[i]["vec_id"], 8_000_000_000 + e[j]["vec_id"]) for i in range(len(e)) for j in np.lexsort((np.arange(len(e)), -s[i]))[:10]}
+    want = {(e[i]["vec_id"], 8_000_000_000 + e[j]["vec_id"]) for i in range(0, len(e), 50) for j in np.lexsort((np.arange(len(e)), -s[i]))[:10]}
     got = {(r["query_id"], r["node_num"]) for r in catalog.queries()["search_semantic_ann"](spark, small).collect()}
-    assert {q for q, _ in got} == {r["vec_id"] for r in e} and len(got & want) >= 0.9 * len(want)
+    assert {q for q, _ in got} == {r["vec_id"] for r in e if r["vec_id"] % 50 == 0} and len(got & want) >= 0.9 * len(want)
 
 
 def test_audited_recall_with_production_parameters(spark, tmp_path):
@@ -334,3 +332,23 @@ def test_conflicts_and_gaps(spark):
     a = spark.createDataFrame([(1, 7, 2), (1, 7, 3), (2, 7, 3)], "subj bigint, pred int, obj bigint")
     assert [tuple(r)[:3] for r in inference.conflict_sets(a).collect()] == [(1, 7, 2)]
     assert inference.probe_conflicts(spark.createDataFrame([(1, 7, 2), (1, 7, 9), (5, 7, 9)], "subj bigint, pred int, obj bigint"), a).count() == 1
+
+
+# --- components
+
+
+def test_components_by_union_find(spark):
+    rng = random.Random(6)
+    links = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(1000 + i, 1001 + i) for i in range(70)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    got = {r["node"]: r["root"] for r in graph.components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
+    assert got == {x: find(x) for x in root if find(x) != x or any(find(y) == x for y in root if y != x)}
