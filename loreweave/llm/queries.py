@@ -113,7 +113,7 @@ e as (select domain, case i when '1' then 'allow' else 'block' end as action, (d
     from d, (values ('0'), ('1'), ('2')) as t(i)),
 o as (select domain, since as valid_from, max(action) as action from e group by all),
 v as (select *, lead(valid_from) over (partition by domain order by valid_from) as valid_to from o),
-s as (select distinct host from p),
+s as (select distinct host from p where strlen(host) <= 253),
 n as (select host, unnest(range(1, len(string_split(host, '.')) + 1)) as i from s),
 x as (select host, i, array_to_string(string_split(host, '.')[i:], '.') as domain from n),
 h as (select p.page_id, x.i, v.domain, v.action, v.valid_from, v.valid_to, row_number() over (partition by p.page_id order by x.i) as k

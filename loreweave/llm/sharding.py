@@ -24,34 +24,31 @@ from pyspark.sql import types as T
 
 from .shared import bound_batches, fresh, write_shared
 
-SHARD_ROWS = 8192
-_PLAIN = ("FileScan", "ColumnarToRow", "Project", "Filter", "WholeStageCodegen", "InputAdapter", "RDDScan", "LocalTableScan")
+#: Rows of a shard, or more where there would be more than MOST_SHARDS.
+SHARD_ROWS, MOST_SHARDS = 8192, 1 << 16
+#: numpy draws from totals below this.
+LARGE = 10**9
+#: Operators whose partitions and row order are the same each time.
+_PLAIN = ("Scan parquet", "ColumnarToRow", "Project", "Filter", "WholeStageCodegen", "InputAdapter")
 
 
 def hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
-    """A draw by numpy, or beyond its range (a total of 10^9) by inversion outwards from the mode."""
-    if good + bad < 10**9:
+    """A draw by numpy, or beyond its range by inversion over the values within twelve deviations of the mode.
+
+    The weights there are products of exact ratios from the mode, whose own weight is 1, so no factorial is rounded; they err
+    by less than 1e-9 of themselves, and what lies farther out is less likely than 1e-30.
+    """
+    total = good + bad
+    if total < LARGE:
         return int(rng.hypergeometric(good, bad, n))
     low, high = max(0, n - bad), min(n, good)
-    mode = min(high, max(low, (n + 1) * (good + 1) // (good + bad + 2)))
-    lg = math.lgamma
-    log_choose = lambda a, b: lg(a + 1) - lg(b + 1) - lg(a - b + 1)
-    p = math.exp(log_choose(good, mode) + log_choose(bad, n - mode) - log_choose(good + bad, n))
-    u, up, down, pu, pd = rng.random() - p, mode, mode, p, p
-    while u > 0 and (up < high or down > low):
-        if up < high:
-            pu *= (good - up) / (up + 1) * (n - up) / (bad - n + up + 1)
-            up += 1
-            u -= pu
-            if u <= 0:
-                return up
-        if down > low:
-            pd *= down / (good - down + 1) * (bad - n + down) / (n - down + 1)
-            down -= 1
-            u -= pd
-            if u <= 0:
-                return down
-    return mode
+    mode = min(high, max(low, (n + 1) * (good + 1) // (total + 2)))
+    far = int(12 * math.sqrt(n * (good / total) * (bad / total) * ((total - n) / max(1, total - 1)))) + 64
+    up, down = np.arange(mode, min(high, mode + far), dtype=float), np.arange(mode, max(low, mode - far), -1, dtype=float)
+    rise = np.cumprod((good - up) / (up + 1) * ((n - up) / (bad - n + up + 1)))
+    fall = np.cumprod(down / (good - down + 1) * ((bad - n + down) / (n - down + 1)))
+    weights = np.cumsum(np.concatenate([fall[::-1], [1.0], rise]))
+    return mode - len(fall) + int(np.searchsorted(weights, rng.random() * weights[-1], side="right"))
 
 
 def matrix_row(counts: np.ndarray, sizes: np.ndarray, p: int, seed: int) -> np.ndarray:
@@ -62,11 +59,14 @@ def matrix_row(counts: np.ndarray, sizes: np.ndarray, p: int, seed: int) -> np.n
         mid = (lo + hi) // 2
         rng = np.random.default_rng([seed, lo, hi])
         left, rest = int(before[mid] - before[lo]), int(before[hi] - before[lo])
-        take = np.zeros_like(have)
-        for j, h in enumerate(have):
-            rest -= int(h)
-            take[j] = hypergeometric(rng, int(h), rest, left) if left else 0
-            left -= int(take[j])
+        if rest < LARGE:
+            take = rng.multivariate_hypergeometric(have, left) if rest else np.zeros_like(have)
+        else:
+            take = np.zeros_like(have)
+            for j, h in enumerate(have):
+                rest -= int(h)
+                take[j] = hypergeometric(rng, int(h), rest, left) if left else 0
+                left -= int(take[j])
         have, lo, hi = (take, lo, mid) if p < mid else (have - take, mid, hi)
     return have
 
@@ -77,11 +77,13 @@ def shard_sizes(n: int, shards: int) -> np.ndarray:
 
 def _fixed(docs: DataFrame) -> DataFrame:
     """``docs`` if it is a plain file scan, whose partitions are the same each time; else a copy in the shared folder."""
-    plan = docs._jdf.queryExecution().executedPlan()
-    text = plan.toString()
-    if "FileScan" in text and all(x not in text for x in ("Exchange", "Python", "MapIn", "Generate", "Join", "Union", "Adaptive", "InMemory")):
-        return docs
-    return write_shared(docs, "fixed")
+    todo = [docs._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        if not node.nodeName().startswith(_PLAIN):  # what isn't known to repeat itself is written once
+            return write_shared(docs, "fixed")
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    return docs
 
 
 def shuffle_into_shards(docs: DataFrame, shards: int | None = None, shard_rows: int = SHARD_ROWS, seed: int = 11) -> DataFrame:
@@ -92,7 +94,7 @@ def shuffle_into_shards(docs: DataFrame, shards: int | None = None, shard_rows:
     per = {r[0]: r[1] for r in docs.groupBy(F.spark_partition_id()).count().toLocalIterator()}
     n = sum(per.values())
     counts = np.array([per.get(i, 0) for i in range(max(per, default=-1) + 1)], np.int64)
-    s = shards or max(1, -(-n // shard_rows))
+    s = shards or max(1, min(MOST_SHARDS, -(-n // shard_rows)))
     sizes = shard_sizes(n, s)
 
     def deal(batches):

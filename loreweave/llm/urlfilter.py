@@ -11,7 +11,8 @@ Defined results
   greatest action in alphabetical order holds ("block" after "allow"). Repeated entries change nothing.
 * Every capture row comes out once for each time it went in, repeated ids included.
 * Empty list: all "none". Empty captures: no rows. Extra columns are ignored.
-* Very long hosts are matched by all their parents, of any number of labels.
+* A host of more than 253 bytes can't be a domain name: no entry applies, action "none". So a host has 127 parents at
+  most, however long the url.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+MOST_HOST = 253
 HOST = r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:@]+)"
 
 
@@ -42,7 +44,7 @@ def evaluate(captures: DataFrame, entries: DataFrame) -> DataFrame:
     keyed = base.withColumn("capture", F.struct("page_id", "url", "fetched"))
     # rows alike are decided alike: decide each once, with its number
     each = keyed.groupBy("page_id", "url", "fetched", "host").agg(F.count("*").alias("copies"))
-    at = each.select("*", F.posexplode(F.transform(F.sequence(F.lit(1), depth), lambda i: F.array_join(F.slice(labels, i, depth), "."))).alias("parents", "domain"))
+    at = each.where(F.octet_length("host") <= MOST_HOST).select("*", F.posexplode(F.transform(F.sequence(F.lit(1), depth), lambda i: F.array_join(F.slice(labels, i, depth), "."))).alias("parents", "domain"))
     active = intervals(entries)
     hit = at.join(active, ["domain"]).where("fetched >= valid_from and (valid_to is null or fetched < valid_to)")
     best = hit.groupBy("page_id", "url", "fetched", "host", "copies").agg(F.min_by(F.struct("domain", "action", "valid_from", "valid_to"), "parents").alias("best"))

@@ -10,8 +10,9 @@ Defined results
 * Null html: an empty payload; null url: no Target-URI; null page_id: none in the index.
 * Empty payloads and very long ones, and urls of any length: records like any other. Repeated rows: a record each.
 * A file without records (or an empty table): an empty output and no index rows.
-* A stream that breaks off, or whose record has no valid header: records before are kept, what follows
-  is left out, and an index row with status "truncated" or "malformed" says so.
+* A record without a valid header, and what else stands between records: left out, with an index row of status
+  "malformed"; the next record (a line that begins with WARC/) is read again.
+* A stream that breaks off: records before are kept, and an index row with status "truncated" says so.
 * Input that has members already is read across them. Extra columns are ignored.
 """
 
@@ -113,6 +114,15 @@ class _Reader:
         del self.have[: found + len(mark)]
         return out
 
+    def skip_to(self, mark: bytes) -> bool:
+        """Drops what comes before ``mark``; False if the stream ends first. Holds no more than a chunk of it."""
+        while (found := self.have.find(mark)) < 0:
+            del self.have[: max(0, len(self.have) - len(mark) + 1)]
+            if not self.more():
+                return False
+        del self.have[:found]
+        return True
+
     def take(self, n: int) -> Iterator[bytes]:
         while n:
             if not self.have and not self.more():
@@ -144,7 +154,9 @@ def split_members(source, write, level: int = LEVEL) -> Iterator[dict]:
                 fields[k.strip().lower()] = v.strip()
             if head is None or not fields.get(b"content-length", b"").isdigit():
                 yield row | {"status": "malformed"}
-                return
+                if not reader.skip_to(b"\r\nWARC/"):
+                    return
+                continue
             gz, sha, size, held = zlib.compressobj(level, zlib.DEFLATED, 31), hashlib.sha1(), 0, []
             held.append(gz.compress(head))
             pending = sum(map(len, held))

@@ -304,6 +304,7 @@ def test_broken_streams_keep_what_came_before():
     assert [r["status"] for r in read(done)] == ["ok"] * 3
     assert [r["status"] for r in read(done[:-30])][-1] == "truncated"
     assert [r["status"] for r in read(gzip.compress(raw + b"junk\r\n\r\n"))] == ["ok"] * 3 + ["malformed"]
+    assert [r["status"] for r in read(gzip.compress(raw + b"WARC/1.0\r\nno length\r\n\r\njunk" + b"x" * 2_000_000 + b"\r\n" + raw))] == ["ok"] * 3 + ["malformed"] + ["ok"] * 3
     assert [r["status"] for r in read(b"".join(gzip.compress(warc.record(i, "u", "x")) for i in range(4)))] == ["ok"] * 4
     assert read(b"") == [] and zlib.crc32(b"") == 0
 
@@ -420,6 +421,23 @@ def test_matrix_and_shards(spark):
     rng = np.random.default_rng(1)
     big = [sharding.hypergeometric(rng, 2 * 10**9, 10**9, 900) for _ in range(800)]
     assert abs(np.mean(big) - 600) < 3 and abs(np.var(big) - 200) < 45
+    huge = np.array([sharding.hypergeometric(rng, 8192, 10**10, 5 * 10**9) for _ in range(800)])
+    assert abs(huge.mean() - 4096) < 8 and abs(huge.var() - 2048) < 450 and huge.min() > 3500
+
+
+def test_large_draws_by_inversion(monkeypatch):
+    """The way for large totals, on small ones, against the exact distribution; and a matrix made by it."""
+    from math import comb
+
+    monkeypatch.setattr(sharding, "LARGE", 0)
+    rng = np.random.default_rng(2)
+    for good, bad, n in ((3, 5, 4), (10, 2, 6), (1, 30, 5), (7, 7, 14), (4, 4, 0)):
+        got = np.bincount([sharding.hypergeometric(rng, good, bad, n) for _ in range(4000)], minlength=good + 1) / 4000
+        want = [comb(good, k) * comb(bad, n - k) / comb(good + bad, n) if n >= k else 0 for k in range(good + 1)]
+        assert np.abs(got[: good + 1] - want).max() < 0.04
+    counts, sizes = np.array([5, 0, 17, 8, 30]), sharding.shard_sizes(60, 7)
+    m = np.stack([sharding.matrix_row(counts, sizes, p, 3) for p in range(5)])
+    assert (m.sum(1) == counts).all() and (m.sum(0) == sizes).all()
 
 
 def test_shuffle_is_uniform_and_repeats(spark, small):

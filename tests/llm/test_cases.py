@@ -187,6 +187,12 @@ def test_url_list(spark):
     assert urlfilter.evaluate(pages.where("false"), entries).count() == 0
 
 
+def test_very_long_hosts(spark):
+    pages = spark.createDataFrame([(1, "http://" + "a." * 250_000 + "bad.example/"), (2, "http://" + "a." * 100 + "bad.example/"), (3, "http://bad.example/" + "x" * 1_000_000)], "page_id bigint, url string").withColumn("fetched", F.lit(5))
+    entries = spark.createDataFrame([("bad.example", "block", 1)], "domain string, action string, since int")
+    assert {r["page_id"]: r["action"] for r in urlfilter.evaluate(pages, entries).collect()} == {1: "none", 2: "block", 3: "block"}
+
+
 def test_stages(spark, docs, none, labels, items, tmp_path):
     pages = docs.drop(*CLASH)
     for name, table in (("documents", pages), ("labels", labels), ("benchmark", items)):
@@ -199,3 +205,14 @@ def test_stages(spark, docs, none, labels, items, tmp_path):
     assert out.columns == [*pages.columns, "shard_id", "shard_pos"]
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, none.drop(*CLASH), str(tmp_path)).count() == 0
+
+
+@pytest.mark.parametrize("empty", ["documents", "labels", "benchmark"])
+def test_run_with_an_empty_table(spark, docs, none, labels, items, tmp_path, empty):
+    """With clashing and extra columns in all of them."""
+    for name, table in (("documents", docs), ("labels", labels.withColumn("text", F.lit("x"))), ("benchmark", items)):
+        (table.where("false") if name == empty else table).write.parquet(f"{tmp_path}/{name}.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.columns == [*docs.columns, "shard_id", "shard_pos"]
+    kept = Counter(r["doc_id"] for r in out.collect())
+    assert not kept if empty == "documents" else kept[7] + kept[8] <= 1 and not set(kept) & {1, 2, 3}
