@@ -513,9 +513,10 @@ def transition_relation(m):
     return lifecycle.transition(r, change)
 
 
-@query("select o_orderkey, case when o_custkey % 10 = 3 then o_custkey - 1 else o_custkey end as o_custkey, case when o_custkey % 10 = 3 then o_custkey end as merged_from from orders")
+@query("select o_orderkey, case when o_custkey % 10 in (3, 4, 5) then o_custkey - o_custkey % 10 + 2 else o_custkey end as o_custkey, case when o_custkey % 10 in (3, 4, 5) then o_custkey end as merged_from from orders")
 def merge_entities(m):
-    merges = m.table("customer").where("c_custkey % 10 = 3").select(F.col("c_custkey").alias("source_id"), (F.col("c_custkey") - 1).alias("target_id"))
+    """Chains of three merges: 5 into 4, 4 into 3, 3 into 2."""
+    merges = m.table("customer").where("c_custkey % 10 in (3, 4, 5)").select(F.col("c_custkey").alias("source_id"), (F.col("c_custkey") - 1).alias("target_id"))
     return lifecycle.merge_entities(m.table("orders").select("o_orderkey", "o_custkey"), merges, "o_custkey")
 
 

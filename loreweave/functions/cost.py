@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.shared import cut
 from .scalar import age_penalty, trust_penalty
 
 
@@ -56,15 +57,24 @@ def graph_cost(atoms: DataFrame, graph: str, now: int, w: Weights = Weights(), e
     return g.withColumn("cost_per_node", F.coalesce(F.col("cost") / F.nullif("n_nodes", F.lit(0)), F.lit(0.0)))
 
 
-def pareto(df: DataFrame, cost: str, coverage: str) -> DataFrame:
+def pareto(df: DataFrame, cost: str, coverage: str, ranges: int = 128) -> DataFrame:
     """Rows that no other beats: as cheap and as covering, and better in one.
 
-    By increasing cost, a row stays if it covers more than all cheaper ones. The best coverage of each
-    cost comes first, so the window runs over the distinct costs only.
+    By increasing cost, a row stays if it covers more than all cheaper ones. The best coverage of each cost comes
+    first; a window then runs within ranges of costs, each of which knows the best of the cheaper ranges.
     """
-    best = df.groupBy(cost).agg(F.max(coverage).alias("__best"))
-    before = F.max("__best").over(Window.orderBy(cost).rowsBetween(Window.unboundedPreceding, -1))
-    front = best.withColumn("__before", before).where("__before is null or __best > __before").select(F.col(cost).alias("__c"), F.col("__best").alias("__b"))
+    best = cut(df.groupBy(cost).agg(F.max(coverage).alias("__best")))
+    bounds = best.agg(F.percentile_approx(cost, [i / ranges for i in range(1, ranges)])).first()[0] or []
+    at = F.size(F.filter(F.array(*map(F.lit, sorted(set(bounds)))), lambda x: x < F.col(cost))) if bounds else F.lit(0)
+    best = best.withColumn("__range", at)
+    tops = dict(best.groupBy("__range").agg(F.max("__best")).collect())
+    below, most = [], None
+    for r in sorted(tops):
+        below += [F.lit(r), F.lit(most).cast(best.schema["__best"].dataType)]
+        most = tops[r] if most is None else max(most, tops[r])
+    before = F.max("__best").over(Window.partitionBy("__range").orderBy(cost).rowsBetween(Window.unboundedPreceding, -1))
+    cheaper = F.create_map(*below)[F.col("__range")] if below else F.lit(None)
+    front = best.withColumn("__before", F.greatest(before, cheaper)).where("__before is null or __best > __before").select(F.col(cost).alias("__c"), F.col("__best").alias("__b"))
     return df.join(front, (df[cost] == F.col("__c")) & (df[coverage] == F.col("__b")), "left_semi")
 
 

@@ -8,6 +8,8 @@ Exact search remains ``retrieval.semantic_top`` and ``retrieval.semantic_top_all
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +21,8 @@ from ..functions.scalar import cosine_similarity
 from .retrieval import BLOCK_ROWS, HITS, TOP, _block, ranked, semantic_top_all, whole_vectors
 
 SAMPLE, CELLS, ROUNDS, PROBES = 50_000, 64, 12, 16
+#: An index has the square root of its rows for cells, within CELLS and MOST_CELLS.
+MOST_CELLS = 4096
 #: What search_all wants of the exact hits, and on how many sampled queries it is audited.
 RECALL, AUDITED = 0.9, 512
 
@@ -55,8 +59,10 @@ def assign(vectors: DataFrame, centroids: np.ndarray) -> DataFrame:
     return vectors.where("embedding is not null").mapInArrow(run, T.StructType([*vectors.schema.fields, T.StructField("cell", T.IntegerType())]))
 
 
-def build(vectors: DataFrame, path: str, cells: int = CELLS) -> np.ndarray:
+def build(vectors: DataFrame, path: str, cells: int | None = None) -> np.ndarray:
     """Writes the index; returns its centroids, which are few."""
+    if cells is None:
+        cells = min(MOST_CELLS, max(CELLS, math.isqrt(vectors.count())))
     c = train(vectors, cells)
     if len(c):
         assign(vectors, c).repartition("cell").write.mode("overwrite").partitionBy("cell").parquet(path)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import cut
+
 
 def current(atoms: DataFrame, superseded: DataFrame, tombstones: DataFrame, key: str = "doc_id") -> DataFrame:
     """Atoms that nothing supersedes and no tombstone removes. One anti-join against both."""
@@ -78,7 +80,19 @@ def transition(relations: DataFrame, changes: DataFrame) -> DataFrame:
     return kept.unionByName(opened)
 
 
+def merge_ends(merges: DataFrame) -> DataFrame:
+    """(source_id, target_id) with every target followed to its end, in as many rounds as the chains' length has bits; a cycle ends where the rounds do."""
+    now = cut(merges.select("source_id", "target_id"))
+    for _ in range(32):
+        on = now.select(F.col("source_id").alias("target_id"), F.col("target_id").alias("next"))
+        step = cut(now.join(on, "target_id", "left").select("source_id", F.coalesce("next", "target_id").alias("target_id"), (F.col("next") != F.col("target_id")).alias("moved")))
+        now = step.select("source_id", "target_id")
+        if step.where("moved").isEmpty():
+            break
+    return now
+
+
 def merge_entities(refs: DataFrame, merges: DataFrame, column: str = "entity_id") -> DataFrame:
-    """References to merged entities (source_id -> target_id) rewritten, with where they came from."""
-    m = merges.select(F.col("source_id").alias(column), "target_id")
+    """References to merged entities (source_id -> target_id, through as many merges as there are) rewritten, with where they came from."""
+    m = merge_ends(merges).select(F.col("source_id").alias(column), "target_id")
     return refs.join(m, column, "left").withColumn("merged_from", F.when(F.col("target_id").isNotNull(), F.col(column))).withColumn(column, F.coalesce("target_id", F.col(column))).drop("target_id")

@@ -267,7 +267,7 @@ def answer_node(m: Model, node: int, **more: Any) -> AnswerPack:
     """The answer about one node."""
     from .contract import Budgets, Target
 
-    c = Contract("lookup", [Target(node_id=node)], budgets=Budgets(**more))
+    c = Contract("lookup", [Target(node_id=node)], budgets=Budgets(**({"max_time_ms": 300_000} | more)))
     return Solver(m.atoms(), m.occurrences(), m.current_edges(), m.claims()).solve(c, [])
 
 
