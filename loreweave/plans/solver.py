@@ -165,7 +165,7 @@ class Solver:
         if routed is None:
             return None
         merged = routed.groupBy("node_num").agg(F.array_sort(F.collect_set("gap")).alias("gaps"), F.min("backend").alias("backend"))
-        return K.latest(self.atoms.join(merged, "node_num"), goal)
+        return cut(K.latest(self.atoms.join(merged, "node_num"), goal))  # read for what is rejected and for what is kept
 
     def _admitted(self, cand: DataFrame, contract: Contract, goal: Goal, ctx: int, pack: AnswerPack) -> DataFrame:
         """Candidates that pass the hard constraints, quantifiers, context scope, provenance policies and invariants."""
@@ -222,9 +222,10 @@ class Solver:
     def _infer(self, pack: AnswerPack, open_: list[dict[str, Any]], entities: list[int]) -> None:
         """Rules 1, 3 and 4 over the claims that the answer's nodes lead to; gaps that they fit are met, and what they reach seeds graph gaps."""
         nodes = sorted({n["node_num"] for n in pack.nodes} | set(entities))
-        if not nodes:
+        direct = pack.claims + pack.branches
+        if not direct:  # nothing to infer from
             return
-        facts = cut(self._facts(nodes, CLAIM_STEPS))
+        facts = cut(self._facts(sorted({*nodes, *(c["obj"] for c in direct)}), CLAIM_STEPS - 1))
         every = inference.transitive(facts).withColumn("rule", F.lit(1)).unionByName(inference.contradiction(facts).withColumn("rule", F.lit(3))).unionByName(inference.second_order(facts).withColumn("rule", F.lit(4)))
         pack.inferred = [r.asDict() for r in every.where(F.col("subj").isin(*nodes)).orderBy("subj", "pred", "obj", "rule").collect()]
         reached = sorted({c["obj"] for c in pack.inferred})
