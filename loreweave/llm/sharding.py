@@ -7,7 +7,8 @@ its rows by a seeded local permutation, rows are exchanged once, and each shard
 
 Defined results
 * Every row lands in one shard, nulls, empty texts, repeated rows and all. Shard sizes differ by 1 at most.
-* The same input files, seed and number of shards give the same shards, after lost executors, too.
+* The same input files, seed and number of shards give the same shards, after lost executors, too: how scans are split
+  is settled for the session (spark.sql.leafNodeDefaultParallelism, where it isn't set).
 * Empty tables: no rows. Columns named shard_id or shard_pos are replaced; all other columns pass through.
 """
 
@@ -88,7 +89,11 @@ def _fixed(docs: DataFrame) -> DataFrame:
 
 def shuffle_into_shards(docs: DataFrame, shards: int | None = None, shard_rows: int = SHARD_ROWS, seed: int = 11) -> DataFrame:
     """All rows and columns, with shard_id and shard_pos (from 0 in each shard), uniformly shuffled."""
-    bound_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    bound_batches(spark)
+    if spark.conf.get("spark.sql.leafNodeDefaultParallelism", None) is None:
+        # else a scan may be split otherwise when executors have come or gone since its rows were counted
+        spark.conf.set("spark.sql.leafNodeDefaultParallelism", str(spark.sparkContext.defaultParallelism))
     docs = _fixed(docs.drop("shard_id", "shard_pos"))
     key, row_ = fresh(docs.columns, "__lw_key", "__lw_row")
     per = {r[0]: r[1] for r in docs.groupBy(F.spark_partition_id()).count().toLocalIterator()}
