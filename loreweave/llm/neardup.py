@@ -1,11 +1,13 @@
 """SimHash near-duplicates by navigable small-world graphs.
 
 Texts are told by 256-bit SimHashes of their word pairs. Distinct hashes are spread over shards by hash; each shard
-builds a small-world graph over all bits, and every hash is sent to every shard as a query. A beam search,
-entered through hashed entry points, finds its first partners and expands from them along links as long as nodes are
-within the radius. Each shard audits its recall, query by query, against exact search: over hashes of other shards,
-which its graph doesn't hold, and over its own. The beam expands until that recall suffices; one as wide as the
-shard that still falls short gives way to the exact search. Edges are verified by the exact distance and unioned.
+builds a small-world graph over all bits, and every hash is sent to every shard as a query. Passes over the shard,
+each sorted by some other bits, compare a block of queries with all nodes that agree in those bits; a query that meets
+a node within reach enters the graph there: a beam search finds its first partners and expands from them along links as
+long as nodes are within the radius. Each shard audits its recall, query by query, against exact search: over hashes of
+other shards, which its graph doesn't hold, and over its own. Passes and beam double until that recall suffices; passes
+that would read as many nodes as the shard has give way to the exact search. Edges are verified by the exact distance
+and unioned.
 
 Defined results
 * Null or empty texts, and texts without a word: near duplicates of nothing; always kept.
@@ -20,6 +22,7 @@ Defined results
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +39,14 @@ RADIUS = 54
 #: A shard of so many hashes takes some 0.3 GB of a worker.
 SHARDS, SHARD_ROWS = 6, 1_000_000
 RECALL = 0.95
-#: Entry tables of a graph, and how many they may become; each takes 6 bytes a node.
-TABLES, MOST_TABLES = 24, 96
+#: Entry tables while a graph is built; each takes 6 bytes a node.
+TABLES = 24
+#: Passes of a search before its audit; none is kept. Nodes that a pass shows a query, on average, are one to two.
+PASSES = 48
+#: A query enters the graph at nodes so much farther than the radius, too.
+REACH = 10
+#: Queries that share their passes, and pairs that are held of them at a time.
+BLOCK, PAIRS = 1 << 19, 1 << 20
 #: Queries of an audit: so many at most of other shards and as many of the own, until so many have partners.
 AUDIT, AUDIT_STEP, PARTNERED = 4096, 256, 100
 _MAX = np.uint64(2**64 - 1)
@@ -79,6 +88,7 @@ class SmallWorld:
         self.x = np.ascontiguousarray(nodes)
         self.n = n = len(nodes)
         self.degree, self.cap, self.width, self.recall, self.outright = degree, 2 * degree, beam, 1.0, False
+        self.passes, self.seed, self.pass_bits = PASSES, seed, int(np.clip(math.ceil(math.log2(max(n, 2) / 2)), 3, 24))
         self.rng = np.random.default_rng(seed)
         self.bits = int(np.clip(math.log2(max(n, 2) / 12), 3, 14))
         self.most = max(12, 2 * n >> self.bits)
@@ -88,27 +98,33 @@ class SmallWorld:
         self.links = np.full((n, self.cap), -1, np.int32)
         self.used = np.zeros(n, np.int32)
         self._build(beam)
+        self.masks.clear()
+        self.tables.clear()
 
     def _add_tables(self, n: int) -> None:
         for _ in range(n):
             m = self.rng.choice(256, self.bits, replace=False)
-            k = self._key(self.x, m)
+            k = self._key(self.x, m).astype(np.uint16)
             order = np.argsort(k, kind="stable")
             self.masks.append(m)
             self.tables.append((k[order], order.astype(np.int32)))
 
     @staticmethod
     def _key(x: np.ndarray, bits: np.ndarray) -> np.ndarray:
-        k = np.zeros(len(x), np.uint64)
-        for i, b in enumerate(bits):
-            k |= ((x[:, b >> 6] >> np.uint64(b & 63)) & np.uint64(1)) << np.uint64(i)
-        return k.astype(np.uint16)
+        out = np.empty(len(x), np.uint32)
+        for at in range(0, len(x), 1 << 14):
+            part = np.ascontiguousarray(x[at : at + (1 << 14)].T)
+            k = np.zeros(part.shape[1], np.uint64)
+            for i, b in enumerate(bits):
+                k |= ((part[b >> 6] >> np.uint64(b & 63)) & np.uint64(1)) << np.uint64(i)
+            out[at : at + (1 << 14)] = k
+        return out
 
     def _entries(self, q: np.ndarray) -> np.ndarray:
         """Nodes that share a hash bucket with each query, twice as many of each table as a bucket has on average, as -1-padded rows."""
         cols = []
         for m, (keys, order) in zip(self.masks, self.tables):
-            k = self._key(q, m)
+            k = self._key(q, m).astype(np.uint16)
             at, end = np.searchsorted(keys, k), np.searchsorted(keys, k, side="right")
             size = min(self.most, int((end - at).max(initial=0)))
             i = at[:, None] + np.arange(size)
@@ -170,13 +186,60 @@ class SmallWorld:
         self.links[a, slot] = b
         np.add.at(self.used, a, 1)
 
-    def _beam(self, q: np.ndarray, width: int, below: int | None = None) -> np.ndarray:
-        """The ``width`` best nodes that a beam search finds for each query, as sorted keys."""
-        start = self._entries(q)
-        if below is not None:
-            start = np.where(start < below, start, -1)
-        few = np.broadcast_to(np.arange(min(32, self.n if below is None else below)), (len(q), min(32, self.n if below is None else below)))
-        keys = self._settle(self._score(q, np.concatenate([start, few], 1)), width)
+    def _footholds(self, q: np.ndarray, reach: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """(query, key) of the ``width`` nearest nodes within ``reach`` that the passes show each query, in order.
+
+        A pass compares a query with all nodes that agree with it in the pass's bits, however many.
+        """
+        rows, keys = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        new: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def settled():
+            r, k = (np.concatenate(x) for x in zip((rows, keys), *new))
+            new.clear()
+            order = np.lexsort((k, r))
+            r, k = r[order], k[order]
+            once = np.ones(len(r), bool)
+            once[1:] = (r[1:] != r[:-1]) | (k[1:] != k[:-1])
+            r, k = r[once], k[once]
+            near = np.arange(len(r)) - np.searchsorted(r, r) < width
+            return r[near], k[near]
+
+        for nth in range(self.passes):
+            bits = np.random.default_rng((self.seed, nth)).choice(256, self.pass_bits, replace=False)
+            k = self._key(self.x, bits).astype(np.uint64)
+            order = (np.sort((k << np.uint64(32)) | np.arange(self.n, dtype=np.uint64)) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+            start = np.concatenate([[0], np.cumsum(np.bincount(k.astype(np.int64), minlength=1 << self.pass_bits))])
+            x = self.x[order]
+            k = self._key(q, bits)
+            at = start[k]
+            many = start[k + np.uint32(1)] - at
+            asks = np.flatnonzero(many)
+            at, many = at[asks], many[asks]
+            sums = np.cumsum(many)
+            i = 0
+            while i < len(asks):
+                to = max(i + 1, int(np.searchsorted(sums, sums[i] - many[i] + PAIRS, side="right")))
+                n = many[i:to]
+                r = np.repeat(asks[i:to], n)
+                p = np.arange(len(r)) + np.repeat(at[i:to] - (sums[i:to] - n - (sums[i] - many[i])), n)
+                d = _distance(x[p], q[r])
+                hit = np.flatnonzero(d <= reach)
+                new.append((r[hit], (d[hit].astype(np.uint64) << np.uint64(33)) | (order[p[hit]].astype(np.uint64) << np.uint64(1))))
+                if sum(len(r) for r, _ in new) > 2 * PAIRS:
+                    rows, keys = settled()
+                i = to
+        return settled()
+
+    def _beam(self, q: np.ndarray, width: int, below: int | None = None, start: np.ndarray | None = None) -> np.ndarray:
+        """The ``width`` best nodes that a beam search finds for each query, from the keys of ``start`` or the entry tables, as sorted keys."""
+        if start is None:
+            start = self._entries(q)
+            if below is not None:
+                start = np.where(start < below, start, -1)
+            few = np.broadcast_to(np.arange(min(32, self.n if below is None else below)), (len(q), min(32, self.n if below is None else below)))
+            start = self._score(q, np.concatenate([start, few], 1))
+        keys = self._settle(start, width)
         out = np.full((len(q), width), _MAX)
         live = np.arange(len(q))
         steps = 4
@@ -211,29 +274,44 @@ class SmallWorld:
         return keys[:, :width].copy()
 
     def within(self, q: np.ndarray, radius: int, width: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(query, node) pairs at most ``radius`` apart; the beam is the audited one by default.
+        """(query, node) pairs at most ``radius`` apart; the beam is the audited one by default."""
+        parts = list(self.parts_within(q, radius, width))
+        return tuple(np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*parts)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+    def parts_within(self, q: np.ndarray, radius: int, width: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The pairs of ``within``, some queries at a time.
 
         What a beam of ``width`` finds expands along the links of nodes within the radius, as far as they
         go: a query with thousands of partners costs what its partners do, not a beam of thousands.
         """
         if width is None and self.outright:
-            return self.exact(q, radius)
+            for i in range(0, len(q), 4096):
+                r, p = self.exact(q[i : i + 4096], radius)
+                yield r + i, p
+            return
         width = width or self.width
-        rows, nodes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         step = max(16, 8192 // width)
-        for i in range(0, len(q), step):
-            k = self._beam(q[i : i + step], width)
-            hit = (k >> np.uint64(33)) <= radius
-            full = hit.all(1)
-            for some, most in ((np.flatnonzero(~full & hit.any(1)), 512), (np.flatnonzero(full), 16)):
-                for j in range(0, len(some), most):
-                    part = some[j : j + most]
-                    r, c = np.nonzero(hit[part])
-                    found = ((k[part[r], c] & np.uint64(0x1FFFFFFFF)) >> np.uint64(1)).astype(np.int64)
-                    r, p = self._expand(q[i + part], r, found, radius)
-                    rows.append(i + part[r])
-                    nodes.append(p)
-        return np.concatenate(rows), np.concatenate(nodes)
+        for lo in range(0, len(q), BLOCK):
+            block = q[lo : lo + BLOCK]
+            row, key = self._footholds(block, radius + REACH, width)
+            asks, first = np.unique(row, return_index=True)
+            place = np.arange(len(row)) - np.repeat(first, np.diff(np.append(first, len(row))))
+            first = np.append(first, len(row))
+            for i in range(0, len(asks), step):
+                on = asks[i : i + step]
+                own = slice(first[i], first[i + len(on)])
+                start = np.full((len(on), width), _MAX)
+                start[np.searchsorted(on, row[own]), place[own]] = key[own]
+                k = self._beam(block[on], width, start=start)
+                hit = (k >> np.uint64(33)) <= radius
+                full = hit.all(1)
+                for some, most in ((np.flatnonzero(~full & hit.any(1)), 512), (np.flatnonzero(full), 16)):
+                    for j in range(0, len(some), most):
+                        part = some[j : j + most]
+                        r, c = np.nonzero(hit[part])
+                        found = ((k[part[r], c] & np.uint64(0x1FFFFFFFF)) >> np.uint64(1)).astype(np.int64)
+                        r, p = self._expand(block[on[part]], r, found, radius)
+                        yield lo + on[part[r]], p
 
     def _expand(self, q: np.ndarray, rows: np.ndarray, nodes: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
         """All (query, node) pairs within the radius that links reach from those given, through such nodes only."""
@@ -262,7 +340,7 @@ class SmallWorld:
         return (np.concatenate(rows), np.concatenate(nodes)) if rows else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
     def audit(self, asked: np.ndarray, radius: int, wanted: float = RECALL, seed: int = 3) -> None:
-        """Doubles the beam and the entry tables until the mean recall of queries, against exact search, is ``wanted``.
+        """Doubles the passes and the beam until the mean recall of queries, against exact search, is ``wanted``.
 
         ``asked``: hashes of other shards, in an order that tells nothing of them. They and own nodes, without
         themselves, are tried in turn until PARTNERED of them have partners, or AUDIT of each have been.
@@ -293,11 +371,11 @@ class SmallWorld:
             self.recall = float(np.mean(np.bincount(found // self.n, minlength=len(q)) / each))
             if self.recall >= wanted:
                 return
-            if self.width >= self.n:
+            if self.passes * max(1, self.n >> self.pass_bits) >= self.n:
                 self.outright, self.recall = True, 1.0
                 return
+            self.passes *= 2
             self.width *= 2
-            self._add_tables(min(len(self.tables), MOST_TABLES - len(self.tables)))
 
 
 def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -334,25 +412,28 @@ def search(nodes: DataFrame, radius: int = RADIUS, beam: int = 16, shards: int |
             """The graph, audited with the queries that have come so far, and the shard's own edges."""
             nonlocal graph, ids
             ids = np.concatenate(ids)
-            graph = SmallWorld(np.concatenate(rows), beam=beam)
+            graph = SmallWorld(np.concatenate(rows), beam=beam, seed=1 + number)
             rows.clear()
             graph.audit(np.concatenate([x for _, x in held]) if held else np.zeros((0, 4), np.uint64), radius)
             yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.nulls(1, pa.int64()), pa.array([graph.width], pa.int64()), pa.array([graph.recall])], ["a", "b", "beam", "recall"])
-            a, b = [], []
-            for i in range(0, len(ids), 4096):
-                r, p = graph.within(graph.x[i : i + 4096], radius)
-                a.append(r + i)
+            every = np.arange(len(ids))
+            graph.root = every
+            a, b = [every], [every]
+            for r, p in graph.parts_within(graph.x, radius):
+                a.append(r)
                 b.append(p)
+                if sum(map(len, a)) > len(ids) + 2 * PAIRS:
+                    graph.root = _roots(len(ids), np.concatenate(a), np.concatenate(b))
+                    a, b = [every], [graph.root]
             graph.root = _roots(len(ids), np.concatenate(a), np.concatenate(b))
-            on = np.flatnonzero(graph.root != np.arange(len(ids)))
+            on = np.flatnonzero(graph.root != every)
             yield edge(ids[on], ids[graph.root[on]])
-            for who, x in held:
-                yield from ask(who, x)
-            held.clear()
 
-        def ask(who, x):
-            r, p = graph.within(x, radius)
-            if len(r):
+        def ask():
+            """The edges of the queries that are held."""
+            who, x = (np.concatenate(c) for c in zip(*held))
+            held.clear()
+            for r, p in graph.parts_within(x, radius):
                 key = np.unique(r * len(ids) + graph.root[p])
                 yield edge(who[key // len(ids)], ids[graph.root[key % len(ids)]])
 
@@ -371,14 +452,16 @@ def search(nodes: DataFrame, radius: int = RADIUS, beam: int = 16, shards: int |
                 continue
             if not len(ids):  # a shard without nodes
                 break
-            if graph is not None:
-                yield from ask(doc[~mine], x[~mine])
-                continue
             held.append((doc[~mine], x[~mine]))
-            if sum(len(d) for d, _ in held) >= AUDIT:
+            waiting = sum(len(d) for d, _ in held)
+            if graph is None and waiting >= AUDIT:
                 yield from build()
+            if waiting >= BLOCK:
+                yield from ask()
         if graph is None and len(ids):
             yield from build()
+        if held:
+            yield from ask()
         graph = None
         trim()
 

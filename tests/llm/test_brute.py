@@ -200,6 +200,29 @@ def test_graph_search_recall(n):
         assert len(got) >= 0.9 * len(want)
 
 
+def test_a_query_is_compared_with_few_nodes_of_a_large_graph(monkeypatch):
+    """However large the shard, a pass shows a query two nodes or so; its partners are still found."""
+    rng = np.random.default_rng(8)
+    x = rng.integers(0, 2**63, (40_000, 4), dtype=np.int64).view(np.uint64)
+    g = neardup.SmallWorld(x)
+    near = _flipped(rng, x[:500], 40)
+    g.audit(near, neardup.RADIUS)
+    assert g.recall >= neardup.RECALL and not g.outright
+    compared, plain = 0, neardup._distance
+
+    def distance(a, b):
+        nonlocal compared
+        d = plain(a, b)
+        compared += d.size
+        return d
+
+    monkeypatch.setattr(neardup, "_distance", distance)
+    q = np.concatenate([near, rng.integers(0, 2**63, (1500, 4), dtype=np.int64).view(np.uint64)])
+    r, p = g.within(q, neardup.RADIUS)
+    assert np.mean(np.isin(np.arange(500), r[r == p])) >= 0.9
+    assert compared < 300 * len(q)
+
+
 def test_opposite_hashes_are_far_apart():
     x = np.array([[5, 6, 7, 8]], np.uint64)
     assert neardup._distance(x, ~x).tolist() == [256]
