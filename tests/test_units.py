@@ -352,3 +352,18 @@ def test_components_by_union_find(spark):
         root[y] = x
     got = {r["node"]: r["root"] for r in graph.components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
     assert got == {x: find(x) for x in root if find(x) != x or any(find(y) == x for y in root if y != x)}
+
+
+def test_current_edges_hash_within_pieces_of_bounded_size(spark, small):
+    from loreweave.sources import shared
+
+    plan = Model(spark, small).current_edges()._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "REPARTITION_BY_NUM" in plan
+    mb, gb = 1 << 20, 1 << 30
+    assert shared.pieces(40 * mb, 4) == 10 and shared.pieces(gb, 4) == 200 and shared.pieces(60 * gb, 4) == 3840  # 16 MB each, however much there is
+
+
+def test_latest_edges_of_repeated_versions(spark):
+    base = spark.createDataFrame([(1, 2, "X", 5), (1, 2, "X", 9), (1, 3, "X", 4), (1, 4, "X", None)], "src bigint, dst bigint, edge_type string, confidence int")
+    delta = spark.createDataFrame([(1, 3, "X", 2, False), (1, 3, "X", 1, True), (1, 5, "X", 7, True), (1, 6, "X", None, False)], "src bigint, dst bigint, edge_type string, confidence int, deleted boolean")
+    assert sorted((r["dst"], r["confidence"]) for r in graph.latest_edges(base, delta).collect()) == [(2, 9), (3, 2), (4, None), (6, None)]
