@@ -367,3 +367,9 @@ def test_latest_edges_of_repeated_versions(spark):
     base = spark.createDataFrame([(1, 2, "X", 5), (1, 2, "X", 9), (1, 3, "X", 4), (1, 4, "X", None)], "src bigint, dst bigint, edge_type string, confidence int")
     delta = spark.createDataFrame([(1, 3, "X", 2, False), (1, 3, "X", 1, True), (1, 5, "X", 7, True), (1, 6, "X", None, False)], "src bigint, dst bigint, edge_type string, confidence int, deleted boolean")
     assert sorted((r["dst"], r["confidence"]) for r in graph.latest_edges(base, delta).collect()) == [(2, 9), (3, 2), (4, None), (6, None)]
+
+
+def test_has_edges_meets_in_pieces_of_its_own(spark, small):
+    from loreweave import catalog
+
+    assert catalog.queries()["graph_has_edge"](spark, small)._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_NUM") >= 5  # both sides too
