@@ -373,3 +373,14 @@ def test_has_edges_meets_in_pieces_of_its_own(spark, small):
     from loreweave import catalog
 
     assert catalog.queries()["graph_has_edge"](spark, small)._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_NUM") >= 5  # both sides too
+
+
+def test_links_of_a_batch_become_stars():
+    import pyarrow as pa
+
+    n = 5000
+    order = np.random.default_rng(3).permutation(n - 1)
+    a, b = np.arange(1, n)[order], np.arange(n - 1)[order]
+    batch = pa.RecordBatch.from_arrays([pa.array(np.append(a, n + 9)), pa.array(np.append(b, n + 7))], names=["a", "b"])
+    (out,) = graph._stars([batch])
+    assert dict(zip(out["a"].to_pylist(), out["b"].to_pylist(), strict=True)) == {i: 0 for i in range(1, n)} | {n + 9: n + 7}
