@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import predicates as P
+from ..sources.shared import spread
 
 TRANSITIVE = (2, 3, 5, 7)
 SUPPORTS, CONTRADICTS = 5, 8
@@ -35,10 +36,10 @@ def transitive(claims: DataFrame, factor: float = 0.8, predicates: tuple[int, ..
 
 def shared_evidence(evidence: DataFrame, trust: DataFrame, factor: float = 0.8) -> DataFrame:
     """Rule 2: nodes a < b with evidence in common give a supports b. ``trust``: (node_num, trust)."""
-    e = evidence.join(trust, "node_num")
+    e = spread(evidence.join(trust, "node_num"), "evidence")  # a task's pairs are of a piece of bounded size
     a = e.select(F.col("node_num").alias("subj"), "evidence", F.col("trust").alias("t1"))
     b = e.select(F.col("node_num").alias("obj"), "evidence", F.col("trust").alias("t2"))
-    pairs = a.join(b, "evidence").where("subj < obj")
+    pairs = spread(a.join(b, "evidence").where("subj < obj"), "subj", "obj")
     return pairs.groupBy("subj", "obj").agg(F.max(damped(F.col("t1"), F.col("t2"), factor)).alias("trust"), F.count("*").alias("n_shared")).select("subj", F.lit(SUPPORTS).alias("pred"), "obj", "trust", "n_shared")
 
 

@@ -384,3 +384,9 @@ def test_links_of_a_batch_become_stars():
     batch = pa.RecordBatch.from_arrays([pa.array(np.append(a, n + 9)), pa.array(np.append(b, n + 7))], names=["a", "b"])
     (out,) = graph._stars([batch])
     assert dict(zip(out["a"].to_pylist(), out["b"].to_pylist(), strict=True)) == {i: 0 for i in range(1, n)} | {n + 9: n + 7}
+
+
+def test_shared_evidence_meets_in_pieces_of_its_own(spark, small):
+    from loreweave import catalog
+
+    assert catalog.queries()["infer_shared_evidence"](spark, small)._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_NUM") >= 4  # evidence, both sides, pairs
